@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus_encoding",)
+MODULES = ("corpus_encoding", "eval_leakage")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
