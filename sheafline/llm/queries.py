@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus_encoding", "eval_leakage")
+MODULES = ("corpus_encoding", "eval_leakage", "repeated_lines")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
