@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus_encoding", "eval_leakage", "repeated_lines", "related_splits", "split_overlap", "similar_vectors", "truncated_texts")
+MODULES = ("corpus_encoding", "eval_leakage", "repeated_lines", "related_splits", "split_overlap", "similar_vectors", "truncated_texts", "scan_repair")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
