@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("sheafline.operators.nested_records",)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
