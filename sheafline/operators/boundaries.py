@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions import similarity as S
-from sheafline.functions.text import strip, tokens
+from sheafline.functions.text import source_key, strip, tokens
 from sheafline.operators.page_types import UNKNOWN, classified
 
 FEATURES = ("semantic_cosine", "token_jaccard", "text_length_ratio", "layout_similarity", "block_position_similarity", "heading_style_similarity", "entity_overlap", "structural_similarity", "type_agreement")
@@ -27,10 +27,10 @@ def stream_fields(df: DataFrame) -> tuple[str, str, str]:
 def normalized(rows: DataFrame) -> DataFrame:
     """Pages of streams in order: ``stream_id, page_number, original_position, text, starts_new_document, source``.
 
-    Rows delivered twice count once. A null text is empty, a null boundary starts nothing.
+    Rows delivered twice count once; sources compare trimmed and lower-cased. A null text is empty, a null boundary starts nothing.
     """
     position, boundary, text = stream_fields(rows)
-    source = F.col("source") if "source" in rows.columns else F.lit(None).cast("string")
+    source = source_key("source") if "source" in rows.columns else F.lit(None).cast("string")
     pages = rows.select(F.coalesce("stream_id", F.lit("stream_0")).alias("stream_id"), F.col(position).alias("original_position"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(boundary) == 1, F.lit(False)).alias("starts_new_document"), source.alias("source")).distinct()
     order = Window.partitionBy("stream_id").orderBy("original_position", "text", "starts_new_document", "source")
     return pages.withColumn("page_number", F.row_number().over(order)).select("stream_id", "page_number", "original_position", "text", "starts_new_document", "source")

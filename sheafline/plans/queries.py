@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("sheafline.operators.nested_records", "sheafline.plans.stream_queries")
+MODULES: tuple[str, ...] = ("sheafline.operators.nested_records", "sheafline.plans.stream_queries", "sheafline.plans.document_queries")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

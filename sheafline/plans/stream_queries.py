@@ -142,7 +142,7 @@ def packet_metadata(spark, folder):
 
 
 _P = """p as (select stream_id, cast(row_number() over (partition by stream_id order by original_position, text, starts_new_document, source) as int) page_number, original_position, text, starts_new_document, source
-     from (select distinct stream_id, original_position, coalesce(text, '') text, coalesce(boundary = 1, false) starts_new_document, source from stream_pages))"""
+     from (select distinct stream_id, original_position, coalesce(text, '') text, coalesce(boundary = 1, false) starts_new_document, nullif(lower(trim(source)), '') source from stream_pages))"""
 _TRUE = _P + """, tg as (select stream_id, page_number, cast(sum(case when starts_new_document and page_number > 1 then 1 else 0 end) over (partition by stream_id order by page_number) + 1 as int) group_no from p),
      tp as (select * from (select stream_id, page_number page_a, lead(page_number) over w page_b, lead(group_no) over w <> group_no is_boundary from tg window w as (partition by stream_id order by page_number)) where page_b is not null)"""
 
