@@ -288,10 +288,98 @@ def scan_noise(extractions: DataFrame, stream: DataFrame) -> DataFrame:
     return chars.unionByName(broken.select("page_key", "line_no", F.lit("hyphen").alias("noise"))).unionByName(edge).distinct()
 
 
+def _like(seen: str, correct: str) -> str:
+    """The correct word written as the misread one was: in capitals, capitalised, or small."""
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return correct.upper()
+    return correct.capitalize() if seen[:1].isupper() or (not seen[:1].isalpha() and letters and letters[0].isupper()) else correct
+
+
+def repair_page(text: str, drop: set[int], fixes: dict[int, dict[str, str]], breaks: dict[int, tuple[int | None, str, str]], flow: bool) -> str:
+    """Text of one page without its furniture, with words corrected and broken ones joined.
+
+    ``flow`` joins lines to paragraphs: one ends at a blank line, before a list line, and after
+    a line that ends a sentence well before the longest line does.
+    """
+    lines = page_lines(text)
+    for i, (other, start, meant) in breaks.items():
+        if i < len(lines) and other is not None and other < len(lines):
+            tail = _BROKEN.search(lines[i])
+            first = _FIRST.match(lines[other])
+            if tail and first:
+                lines[i] = lines[i][: tail.start(1)] + _like(tail.group(1), meant) + lines[other][first.start(1) + len(start) :][: _trailing(lines[other], first.start(1) + len(start))]
+                lines[other] = lines[other][first.start(1) + len(start) :][_trailing(lines[other], first.start(1) + len(start)) :].lstrip()
+    for i, words in fixes.items():
+        if i < len(lines):
+            for seen, correct in words.items():
+                lines[i] = re.sub(r"(?<![^\s\-‐\xad¬—.,;:?()\"'|/\[\]])" + re.escape(seen) + r"(?![^\s\-‐\xad¬—.,;:?()\"'|/\[\]])", lambda m, c=correct: _like(m.group(0), c), lines[i], flags=re.I)
+    kept = [x.rstrip() for i, x in enumerate(lines) if i not in drop]
+    if not flow:
+        return "\n".join(kept)
+    widest = max((len(x) for x in kept), default=0)
+    out: list[str] = []
+    open_paragraph = False
+    for x in kept:
+        if not x.strip():
+            open_paragraph = False
+            continue
+        listed = re.match(r"\s*(-|\*|•|\d+[.)])\s+", x) or re.search(r"\s{2,}\S", x.strip())
+        if open_paragraph and not listed:
+            out[-1] += " " + x.strip()
+        else:
+            out.append(x.strip())
+        open_paragraph = not listed and not (len(x) < 0.8 * widest and x.rstrip()[-1] in ".?!:")
+    return "\n".join(out)
+
+
+def _trailing(line: str, at: int) -> int:
+    """Length of the punctuation that belongs to the word that ends at ``at``."""
+    n = 0
+    while at + n < len(line) and not line[at + n].isspace():
+        n += 1
+    return n
+
+
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            fixes: dict[int, dict[str, str]] = {}
+            for f in row["fixes"] or []:
+                fixes.setdefault(f["line_no"], {})[f["a"]] = f["correct"]
+            breaks = {b["line_no"]: (b["other_line"], b["b"], b["meant"]) for b in row["breaks"] or []}
+            out.append(repair_page(row["text"] or "", set(row["drop"] or []), fixes, breaks, row["scanned"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_key", "text"])
+
+
+def repaired_text(extractions: DataFrame, stream: DataFrame) -> DataFrame:
+    """``page_key, text`` of scanned pages as paragraphs without furniture, and of stream pages
+    with misread and broken words repaired. A null text becomes empty; other cases as in
+    ``scan_noise``. Pages of one key with different texts are each repaired by the findings of all.
+    """
+    packets, counts, fixes, n_fixes, events = _evidence(extractions, stream)
+    broken = _broken(events, counts, fixes, n_fixes)
+    small = small_or_shuffled(fixes.select(F.col("word").alias("a"), "correct"), n_fixes)
+    words = events.where("kind in ('word', 'rest')").join(small, "a")
+    scanned, _, streams = sources(extractions, stream)
+    pages = scanned.select("page_key", "text", F.lit(True).alias("scanned")).unionByName(streams.select("page_key", "text", F.lit(False).alias("scanned"))).where("page_key is not null").distinct()
+    drop = furniture(packets.where("page_key is not null and packet_id is not null")).groupBy("page_key").agg(F.collect_set("line_no").alias("drop"))
+    fix = words.groupBy("page_key").agg(F.collect_set(F.struct("line_no", "a", "correct")).alias("fixes"))
+    join = broken.groupBy("page_key").agg(F.collect_set(F.struct("line_no", "other_line", "b", "meant")).alias("breaks"))
+    found = drop.join(fix, "page_key", "full").join(join, "page_key", "full")
+    return pages.join(found, "page_key", "left").mapInArrow(_repair, "page_key string, text string")
+
+
+def p6_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_extractions", "page_id", "packet_id", "page_number", "text", "extraction_method")
+    return repaired_text(pages, table(spark, folder, "stream_pages", "stream_id", "original_position", "text"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "page_extractions", "page_id", "packet_id", "page_number", "text", "extraction_method")
     return scan_noise(pages, table(spark, folder, "stream_pages", "stream_id", "original_position", "text"))
 
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p6_found": p6_found, "p6_text": p6_text}
 SQL: dict[str, str] = {}
