@@ -1,0 +1,17 @@
+"""Every core query with SQL gives the rows of its SQL on the smallest tables."""
+
+import pytest
+
+from sheafline.plans.queries import QUERIES, SQL
+from tests.conftest import SMALL, rows_of
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, oracle, name):
+    got, want = QUERIES[name](spark, SMALL).toPandas(), oracle(SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got) == rows_of(want)
+
+
+def test_sql_has_its_query():
+    assert set(SQL) <= set(QUERIES)
