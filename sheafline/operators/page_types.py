@@ -21,22 +21,26 @@ LEXICON = {
 UNKNOWN = "unknown"
 
 
-def type_scores(text: str | Column) -> Column:
-    """Types with a match, best first: array of (type, confidence)."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    scored = []
-    for place, (name, phrases) in enumerate(LEXICON.items()):
-        hits = sum((low.rlike(rf"\b{p}\b").cast("int") for p in phrases), F.lit(0))
-        scored.append(F.struct((-hits / len(phrases)).alias("order"), F.lit(place).alias("place"), F.lit(name).alias("type"), (hits / len(phrases)).alias("confidence")))
-    matched = F.filter(F.array(*scored), lambda s: s["confidence"] > 0)
-    return F.transform(F.array_sort(matched), lambda s: F.struct(s["type"].alias("type"), s["confidence"].alias("confidence")))
+def _hits(low: str, phrases: tuple[str, ...]) -> Column:
+    """Number of phrases in a lower-cased text; a plain search comes first, the pattern decides on word ends."""
+    return sum((F.when(F.contains(low, F.lit(p)), F.col(low).rlike(rf"\b{p}\b").cast("int")).otherwise(0) for p in phrases), F.lit(0))
 
 
 def classified(df: DataFrame, text: str = "text", top: int = 3) -> DataFrame:
-    """Adds ``document_type``, ``confidence`` and the ``top`` candidates; no match is unknown with 0."""
-    df = df.withColumn("candidates", F.slice(type_scores(text), 1, top))
+    """Adds ``document_type``, ``confidence`` and the ``top`` candidates; no match is unknown with 0.
+
+    The hits are counted in generated code, before the array functions that rank the types.
+    """
+    counted = df.withColumn("_low", F.lower(F.coalesce(col(text), F.lit("")))).select(*df.columns, *[_hits("_low", phrases).alias(f"_hits_{name}") for name, phrases in LEXICON.items()])
+    scored = []
+    for place, (name, phrases) in enumerate(LEXICON.items()):
+        confidence = F.col(f"_hits_{name}") / len(phrases)
+        scored.append(F.struct((-confidence).alias("order"), F.lit(place).alias("place"), F.lit(name).alias("type"), confidence.alias("confidence")))
+    ranked = F.array_sort(F.filter(F.array(*scored), lambda s: s["confidence"] > 0))
+    candidates = F.transform(F.slice(ranked, 1, top), lambda s: F.struct(s["type"].alias("type"), s["confidence"].alias("confidence")))
+    out = counted.select(*df.columns, candidates.alias("candidates"))
     best = F.get("candidates", F.lit(0))
-    return df.withColumn("document_type", F.coalesce(best["type"], F.lit(UNKNOWN))).withColumn("confidence", F.coalesce(best["confidence"], F.lit(0.0)))
+    return out.withColumn("document_type", F.coalesce(best["type"], F.lit(UNKNOWN))).withColumn("confidence", F.coalesce(best["confidence"], F.lit(0.0)))
 
 
 def more_confident(embedding: Column, heuristic: Column) -> Column:
