@@ -25,7 +25,7 @@ SAMPLE_ROWS = 20_000
 #: Codebooks after the first, their size, and the width of the encoding beam.
 BOOKS, BOOK_SIZE, BEAM = 7, 256, 4
 #: Cells looked at for a vector, and codes of a cell that are ranked again with their vectors.
-PROBES, SHORTLIST = 4, 32
+PROBES, SHORTLIST = 8, 32
 #: Vectors at home in one task of the search, about; fuller groups of cells are split.
 GROUP_ROWS = 6_000
 
