@@ -4,12 +4,18 @@ Normalised pages are cut where a rolling hash of their words says so. Chunk dige
 joined across splits and the lengths of shared chunks are summed into the share of each
 page that the pair has in common. The join is on a prefix only: with chunks ordered from
 rare to common, two pages that share at least ``least`` of either one's words must share a
-chunk before the last ``least`` of both. An exact check on word sets may follow.
+chunk before the last ``least`` of both.
+
+Chunks order the work but prove nothing about three-word sets, so a second join on the rarest
+three-word hashes of each page adds every other pair that can reach the wanted share: with
+the hashes of all pages in one order, rare before common, the first one that two pages share
+leaves at least their common part behind it in both. An exact check on word sets follows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +36,12 @@ CUT_ONE_IN, MIN_WORDS = 5, 2
 #: copies with half of their three-word sets in common mostly share far more; the share is low to miss few of them.
 LEAST = 0.2
 #: A chunk is hot when its pages make more than so many pairs across splits. A page of which hot
-#: chunks hold less than the share HEAVY is joined by its other chunks only: half of all three-word
-#: sets in common means two thirds of its words, which hot chunks alone cannot give. Pages with
-#: more are joined by hot chunks too.
+#: chunks hold less than the share HEAVY is joined by its other chunks only, pages with more by hot
+#: chunks too. Pairs that this passes over are found by their three-word hashes.
 HOT, HEAVY = 2_500, 0.5
+#: Three-word hashes are ordered by counts in so many buckets, and counts are merged in slices of so
+#: many. Any order gives the same pairs; a bucket not filled on both sides holds no common hash.
+BUCKETS, SLICE = 1 << 22, 1 << 16
 #: Pages of fewer words take no part.
 LEAST_WORDS = 20
 
@@ -108,14 +116,21 @@ def with_split(pages: DataFrame, splits: DataFrame) -> DataFrame:
     return pages.join(small_or_shuffled(stored(named)), "stream_id").withColumn("train", F.col("split") == TRAIN)
 
 
-def chunk_pairs(placed: DataFrame, least: float = LEAST) -> DataFrame:
+_LENGTH = lambda c: c.bitwiseAND(F.lit(255)).cast("int")
+
+
+def page_chunks(placed: DataFrame) -> DataFrame:
+    """Stored ``page, train, words, digests`` of the distinct texts of each batch of pages."""
+    cut = stored(placed.where("text is not null").select("train", "text").mapInArrow(_cut, "page long, train boolean, words int, digests array<long>"))
+    # digests count once in a page; copies of a page within a batch are already one row
+    return cut.withColumn("digests", F.array_distinct("digests")).withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
+
+
+def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     """``page_a, page_b, shared, share_a, share_b``: distinct texts of the training (a) and the
     evaluation splits (b), named by the 64-bit hash of their words, with the words in shared chunks.
     """
-    cut = stored(placed.where("text is not null").select("train", "text").mapInArrow(_cut, "page long, train boolean, words int, digests array<long>"))
-    # digests count once in a page; copies of a page within a batch are already one row
-    length = lambda c: c.bitwiseAND(F.lit(255)).cast("int")
-    cut = cut.withColumn("digests", F.array_distinct("digests")).withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + length(c)))
+    length = _LENGTH
     rows = cut.select("page", "train", "words", F.explode("digests").alias("chunk"))
     side = F.when(F.col("train"), 1).otherwise(0)
     counts = rows.groupBy("chunk").agg(F.sum(side).alias("a"), F.sum(1 - side).alias("b")).where("a > 0 and b > 0")
@@ -140,6 +155,101 @@ def chunk_pairs(placed: DataFrame, least: float = LEAST) -> DataFrame:
     return pairs.select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b"))
 
 
+def _triples(batch: pa.RecordBatch, known: dict[str, int]):
+    """``side, pages, sizes, hashes`` of the distinct texts of a batch: the set of three-word hashes of each, one after the other."""
+    seen, side, ids, flat, lengths = set(), [], [], [], []
+    for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found = _WORD.findall(text.lower())
+        if len(found) < LEAST_WORDS:
+            continue
+        page = xxhash.xxh3_64_intdigest(" ".join(found))
+        if (page, train) in seen:
+            continue
+        seen.add((page, train))
+        for w in found:
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            flat.append(known[w])
+        side.append(train)
+        ids.append(page)
+        lengths.append(len(found))
+    w, n = np.array(flat, np.uint64), np.array(lengths, np.int64)
+    if not len(n):
+        return np.zeros(0, bool), np.zeros(0, np.int64), n, w
+    h = w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1] * np.uint64(0xD6E8FEB86659FD93) + w[2:] * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    page = np.repeat(np.arange(len(n)), n)
+    whole = page[:-2] == page[2:]
+    h, page = h[whole], page[:-2][whole]
+    order = np.lexsort((h, page))
+    h, page = h[order], page[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (page[1:] != page[:-1])]
+    return np.array(side, bool), np.array(ids, np.uint64).view(np.int64), np.bincount(page[first], minlength=len(n)), h[first]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of three-word hashes by side and bucket, in packed slices."""
+    known: dict[str, int] = {}
+    counts = np.zeros((2, BUCKETS), np.uint32)
+    for batch in batches:
+        side, _, sizes, h = _triples(batch, known)
+        of = np.repeat(side, sizes)
+        for t in (0, 1):
+            counts[t] += np.bincount(_bucket(h[of == t]), minlength=BUCKETS).astype(np.uint32)
+    rows = [(t, i // SLICE, zlib.compress(counts[t, i : i + SLICE].tobytes(), 1)) for t in (0, 1) for i in range(0, BUCKETS, SLICE) if counts[t, i : i + SLICE].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["side", "slice", "counts"])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows.column("counts").to_pylist())
+    return pa.table({"side": rows.column("side")[:1], "slice": rows.column("slice")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _prefixes(held, least_jaccard: float):
+    """``page, train, size, at, hashes``: the hashes of a page that can be the first one it shares with a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, known = held.value, {}
+        for batch in batches:
+            side, ids, sizes, h = _triples(batch, known)
+            page = np.repeat(np.arange(len(sizes)), sizes)
+            n = often[_bucket(h)]
+            order = np.lexsort((h, n, page))
+            h, n = h[order], n[order]
+            at = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(sizes)][:-1], sizes)
+            # a partner is not smaller than the wanted share, so this many hashes must be left from the first common one on
+            keep = (n > 0) & (np.repeat(sizes, sizes) - at >= least_jaccard * np.repeat(sizes, sizes) - 1e-9)
+            bounds = pa.array(np.r_[0, np.cumsum(np.bincount(page[keep], minlength=len(sizes)))].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(v[keep])) for v in (at.astype(np.int32), h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(sizes.astype(np.int32)), *lists], names=["page", "train", "size", "at", "hashes"])
+
+    return run
+
+
+def triple_pairs(placed: DataFrame, least_jaccard: float) -> DataFrame:
+    """``page_a, page_b``: all distinct texts of the training (a) and the evaluation splits (b) whose
+    three-word sets can have ``least_jaccard`` of their union in common; no such pair is left out.
+    """
+    spark = placed.sparkSession
+    texts = placed.where("text is not null").select("train", "text")
+    counts = np.zeros((2, BUCKETS))
+    for side, at, packed in texts.mapInArrow(_tally, "side int, slice int, counts binary").groupBy("side", "slice").applyInArrow(_merged, "side int, slice int, counts binary").collect():
+        counts[side, at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint64)
+    held = spark.sparkContext.broadcast((counts[0] * counts[1]).astype(np.float32))
+    packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, at array<int>, hashes array<long>").where(F.size("hashes") > 0)
+    packed = stored(packed.dropDuplicates(["page", "train"]))
+    rows = packed.select("page", "train", "size", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("page", "train", "size", (F.col("size") - F.col("x.at")).alias("left"), F.col("x.hashes").alias("hash"))
+    side = lambda x, cond: rows.where(cond).select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("page", "size", "left")])
+    enough = F.least("left_a", "left_b") * (1 + least_jaccard) >= least_jaccard * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return side("a", "train").join(side("b", "not train"), "hash").where(enough).select("page_a", "page_b").distinct()
+
+
 def _hashed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -160,7 +270,10 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     """
     pages = pages.select(*PAGE, "source", F.col("text").cast("string").alias("text"))
     placed = with_split(pages, splits)
-    pairs = stored(chunk_pairs(placed, least))
+    cut = page_chunks(placed)
+    near = stored(chunk_pairs(cut, least))
+    rest = triple_pairs(placed, least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
+    pairs = stored(near.select("page_a", "page_b").unionByName(rest))
     n = pairs.count()
     keyed = placed.where("text is not null").select("text", *PAGE, "split", source_key("source").alias("source"))
     types = dict(keyed.dtypes)
@@ -173,11 +286,18 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     checked = pairs.join(sets.select(F.col("page").alias("page_a"), F.col("s").alias("s_a")), "page_a").join(sets.select(F.col("page").alias("page_b"), F.col("s").alias("s_b")), "page_b")
     both = F.size(F.array_intersect("s_a", "s_b"))
     jaccard = both / (F.size("s_a") + F.size("s_b") - both)
-    checked = checked.select("page_a", "page_b", "shared", "share_a", "share_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least_jaccard)
+    checked = stored(checked.select("page_a", "page_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least_jaccard))
+    n = checked.count()
+    own = small_or_shuffled(stored(checked.select(F.explode(F.array("page_a", "page_b")).alias("page")).distinct()), 2 * n)
+    chunks = stored(cut.join(own, "page", "left_semi").select("page", "words", "digests").dropDuplicates(["page"]))
+    for x in ("a", "b"):
+        checked = checked.join(chunks.select(*[F.col(c).alias(f"{c}_{x}") for c in chunks.columns]), f"page_{x}")
+    shared = F.aggregate(F.array_intersect("digests_a", "digests_b"), F.lit(0), lambda t, c: t + _LENGTH(c))
+    checked = checked.withColumn("shared", shared).select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b"), "jaccard")
     checked = stored(checked)
     of = members.select("page", *PAGE, "split", "source").distinct()
     side = lambda x, cond: of.where(cond).select(*[F.col(c).alias(f"{c}_{x}") for c in of.columns])
-    return small_or_shuffled(checked).join(side("a", f"split = '{TRAIN}'"), "page_a").join(side("b", f"split <> '{TRAIN}'"), "page_b")
+    return small_or_shuffled(checked, n).join(side("a", f"split = '{TRAIN}'"), "page_a").join(side("b", f"split <> '{TRAIN}'"), "page_b")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

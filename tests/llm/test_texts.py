@@ -135,6 +135,23 @@ def test_pairs_across_splits(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 15
 
 
+@pytest.mark.parametrize("hot", [2, float("inf")])
+def test_no_pair_is_lost_whatever_counts_as_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(O, "HOT", hot)
+    words = [f"w{i}" for i in range(3000)]
+    form = [random.Random(f"form{i}").choices(words, k=60) for i in range(3)]
+    # forms take 45 to 49 % of a page; the rest is edited often enough to leave few whole chunks
+    page = lambda i: form[i % 3] + random.Random(i).choices(words, k=64 + i % 9)
+    edited = lambda t, every: " ".join(f"x{k}{every}" if k >= 60 and k % every == 0 else w for k, w in enumerate(t))
+    train = [("a", i, " ".join(page(i))) for i in range(40)]
+    test = [("b", 10 * i + every, edited(page(i), every)) for i in range(40) for every in (4, 5, 6, 7)]
+    splits = spark.createDataFrame([("a", "train"), ("b", "test")], "stream_id string, split_name string")
+    found = O.overlaps(pages(spark, [(s, p, "src", t) for s, p, t in train + test]), splits).collect()
+    want = {(i, p) for _, i, t in train for _, p, x in test if near(t, x) >= 0.5}
+    assert {(r.original_position_a, r.original_position_b) for r in found} == want and len(want) > 80
+    assert all(0 <= r.share_a <= 1 and 0 <= r.share_b <= 1 for r in found)
+
+
 def test_many_copies_of_one_page(spark):
     t = prose(1, 60)
     rows = [("a", i, "s", t) for i in range(80)] + [("b", i, None, t.title()) for i in range(5)]
