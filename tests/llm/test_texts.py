@@ -1,5 +1,6 @@
 """Encoding, leakage, repeated lines, overlap, truncation and scan repair on small cases and dirt."""
 
+import math
 import random
 
 import pytest
@@ -107,6 +108,15 @@ def test_lines_on_enough_pages_of_a_source(spark):
     assert levels == {(1, 10), (1, 11), (2, 10), (3, 10)}
 
 
+def test_sequences_of_any_length_and_with_gaps(spark):
+    lines = list("abcdef")
+    notice = [("s", i, "web", "\n".join(x for line in lines for x in (line, f"only {'x' * (i + 1)} {line}"))) for i in range(12)]
+    # c and e in the order e, c; a twice; d left out: with gaps a, b, c stand on these pages too
+    other = [("t", i, "web", "a\nb\ne\na\nc") for i in range(3)]
+    got = {r.length: (r.n, r.most) for r in R.frequent_sequences(pages(spark, notice + other)).groupBy("length").agg(F.count("*").alias("n"), F.max("pages").alias("most")).collect()}
+    assert got == {k: (math.comb(6, k), 15 if k <= 3 else 12) for k in range(1, 7)}
+
+
 def test_one_source_holding_most_rows_and_no_rows(spark):
     rows = [(f"s{i}", 0, "hot", f"same line\nline {'x' * (i % 7)}\n" + "y" * 20_000) for i in range(300)]
     assert R.repeated_lines(pages(spark, rows)).count() == 900
