@@ -220,11 +220,14 @@ def furniture(pages: DataFrame) -> DataFrame:
     return heads.withColumn("noise", F.lit("header")).unionByName(numbers.select("page_key", "line_no", F.lit("page_number").alias("noise")))
 
 
+def stream_key() -> Column:
+    return F.format_string("%s_page_%04d", "stream_id", F.col("original_position") + 1)
+
+
 def sources(extractions: DataFrame, stream: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scanned pages, all pages of packets, and stream pages, each as ``page_key, text`` and more."""
     e = extractions.select(F.col("page_id").alias("page_key"), "packet_id", "page_number", F.col("text").cast("string").alias("text"), (F.lower(strip("extraction_method")) == "ocr").alias("scanned")).distinct()
-    key = F.format_string("%s_page_%04d", "stream_id", F.col("original_position") + 1)
-    s = stream.where("stream_id is not null and original_position is not null").select(key.alias("page_key"), F.col("text").cast("string").alias("text"))
+    s = stream.where("stream_id is not null and original_position is not null").select(stream_key().alias("page_key"), F.col("text").cast("string").alias("text"))
     return e.where("scanned"), e, s
 
 
@@ -349,31 +352,46 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in row["fixes"] or []:
                 fixes.setdefault(f["line_no"], {})[f["a"]] = f["correct"]
             breaks = {b["line_no"]: (b["other_line"], b["b"], b["meant"]) for b in row["breaks"] or []}
-            out.append(repair_page(row["text"] or "", set(row["drop"] or []), fixes, breaks, row["scanned"]))
+            drop = set(row["drop"] or []) if row["scanned"] else set()
+            out.append(repair_page(row["text"] or "", drop, fixes, breaks, row["scanned"]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_key", "text"])
 
 
-def repaired_text(extractions: DataFrame, stream: DataFrame) -> DataFrame:
-    """``page_key, text`` of scanned pages as paragraphs without furniture, and of stream pages
-    with misread and broken words repaired. A null text becomes empty; other cases as in
-    ``scan_noise``. Pages of one key with different texts are each repaired by the findings of all.
+def repaired_text(extractions: DataFrame, stream: DataFrame, unmarked: bool = False) -> DataFrame:
+    """``page_key, text`` of scanned pages as paragraphs without furniture, and of stream pages with
+    misread and broken words repaired. With ``unmarked``, a stream page with such words counts as
+    scanned and becomes paragraphs without furniture too, its stream being the packet; without,
+    stream pages keep their lines. A null text becomes empty; other cases as in ``scan_noise``.
+    Pages of one key with different texts are each repaired by the findings of all.
     """
     packets, counts, fixes, n_fixes, events = _evidence(extractions, stream)
     broken = _broken(events, counts, fixes, n_fixes)
     small = small_or_shuffled(fixes.select(F.col("word").alias("a"), "correct"), n_fixes)
     words = events.where("kind in ('word', 'rest')").join(small, "a")
     scanned, _, streams = sources(extractions, stream)
-    pages = scanned.select("page_key", "text", F.lit(True).alias("scanned")).unionByName(streams.select("page_key", "text", F.lit(False).alias("scanned"))).where("page_key is not null").distinct()
-    drop = furniture(packets.where("page_key is not null and packet_id is not null")).groupBy("page_key").agg(F.collect_set("line_no").alias("drop"))
+    pages = scanned.select("page_key", "text", F.lit(True).alias("marked")).unionByName(streams.select("page_key", "text", F.lit(False).alias("marked"))).where("page_key is not null").distinct()
     fix = words.groupBy("page_key").agg(F.collect_set(F.struct("line_no", "a", "correct")).alias("fixes"))
     join = broken.groupBy("page_key").agg(F.collect_set(F.struct("line_no", "other_line", "b", "meant")).alias("breaks"))
-    found = drop.join(fix, "page_key", "full").join(join, "page_key", "full")
-    return pages.join(found, "page_key", "left").mapInArrow(_repair, "page_key string, text string")
+    found = stored(fix.join(join, "page_key", "full"))
+    drop = furniture(packets.where("page_key is not null and packet_id is not null")).withColumn("marked", F.lit(True))
+    flow = F.col("marked")
+    if unmarked:
+        # a stream without a scanned page has nothing to take out
+        streamed = stream.where("stream_id is not null and original_position is not null")
+        streamed = streamed.select(stream_key().alias("page_key"), F.col("stream_id").alias("packet_id"), (F.col("original_position") + 1).alias("page_number"), F.col("text").cast("string").alias("text")).distinct()
+        with_scans = stored(streamed.join(found, "page_key", "left_semi").select("packet_id").distinct())
+        streamed = streamed.join(small_or_shuffled(with_scans), "packet_id", "left_semi")
+        drop = drop.unionByName(furniture(streamed).withColumn("marked", F.lit(False)))
+        flow = flow | F.col("fixes").isNotNull() | F.col("breaks").isNotNull()
+    drop = drop.groupBy("page_key", "marked").agg(F.collect_set("line_no").alias("drop"))
+    whole = pages.join(found, "page_key", "left").join(drop, ["page_key", "marked"], "left")
+    whole = whole.select("page_key", "text", "fixes", "breaks", "drop", flow.alias("scanned"))
+    return whole.mapInArrow(_repair, "page_key string, text string")
 
 
 def p6_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "page_extractions", "page_id", "packet_id", "page_number", "text", "extraction_method")
-    return repaired_text(pages, table(spark, folder, "stream_pages", "stream_id", "original_position", "text"))
+    return repaired_text(pages, table(spark, folder, "stream_pages", "stream_id", "original_position", "text"), unmarked=True)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
