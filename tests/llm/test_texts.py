@@ -229,12 +229,12 @@ def test_repaired_scans(scans):
 
 def test_unmarked_scans_become_paragraphs(spark, scans, monkeypatch):
     extractions, stream = scans
-    lines = "Vinpitik cable record\n- {} -\nThe har-\nbour must be rented iinder copper\nrules within twelve days"
-    rows = [("u", i, lines.format(i + 1)) for i in range(4)] + [("u", 4, "Vinpitik cable record\nthe harbour\nmust be rented")]
+    lines = "Vinpitik cable record\n- {} -\nThe har-\nbour must be rented under {}\nrules within twelve {}"
+    rows = [("u", i, lines.format(i + 1, chr(97 + i) * 4, chr(97 + i) * 4)) for i in range(4)] + [("u", 4, "Vinpitik cable record\nthe harbour\nmust be rented")]
     tables = {"page_extractions": extractions, "stream_pages": stream.select("stream_id", "original_position", "text").unionByName(spark.createDataFrame(rows, "stream_id string, original_position int, text string"))}
     monkeypatch.setattr(S, "table", lambda spark, folder, name, *columns: tables[name].select(*columns))
     got = {r.page_key: r.text for r in S.p6_text(spark, "").collect()}
-    assert all(got[f"u_page_000{i}"] == "The harbour must be rented under copper rules within twelve days" for i in range(1, 5))
+    assert all(got[f"u_page_000{i}"] == f"The harbour must be rented under {chr(96 + i) * 4} rules within twelve {chr(96 + i) * 4}" for i in range(1, 5))
     # a page without findings is not scanned and stays as it is
     assert got["u_page_0005"] == rows[4][2]
 
