@@ -2,9 +2,12 @@
 
 Vectors are written as sums of full-dimensional codewords, one from each residual codebook,
 found by beam search. The first codeword names a cell; a vector is compared with the vectors
-of the cells nearest to it. Inside a cell, tables of products between query and codewords
-give the score of every code, stored norms turn it into a cosine, and the best few of each
-cell are ranked again with the vectors themselves.
+of the cells nearest to it. Tables of products between query and codewords give the score of
+every code, stored norms turn it into a cosine, and the best of them are ranked again with
+the vectors themselves.
+
+Vectors of one direction form a class, named by the hash of the direction. Classes are
+searched; ids are mapped to them at the end, so that an id may have several vectors.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +25,20 @@ from sheafline.sources.tables import table
 
 DIMENSIONS = 96
 #: Codebooks are fitted on a sample of at most so many vectors; every vector is then indexed.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 40_000
+#: Cells number half the root of the rows, as far as the sample has so many rows for each.
+ROWS_A_CELL = 8
 #: Codebooks after the first, their size, and the width of the encoding beam.
-BOOKS, BOOK_SIZE, BEAM = 7, 256, 4
-#: Cells looked at for a vector, and codes of a cell that are ranked again with their vectors.
-PROBES, SHORTLIST = 8, 32
-#: Vectors at home in one task of the search, about; fuller groups of cells are split.
-GROUP_ROWS = 6_000
+BOOKS, BOOK_SIZE, BEAM = 15, 256, 4
+#: Cells looked at for a vector: so many, or PROBE_ROOT times the root of their number where that is more.
+PROBES, PROBE_ROOT = 24, 1.5
+#: Best codes kept of each cell for a query, and those of one task that are ranked again with their vectors.
+CELL_BEST, SHORTLIST = 64, 640
+#: Vectors at home in one task, and vectors that ask in it, about: fuller groups of cells are
+#: split on both sides.
+TASK_ROWS = 80_000
+#: Queries scored together.
+QUERY_BLOCK = 4_096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -53,22 +64,67 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return centers
 
 
-def fit(sample: np.ndarray, total: int) -> dict:
-    """Residual codebooks of a sample of unit vectors, and the groups of cells for ``total`` vectors."""
-    cells = int(np.clip(2 ** round(np.log2(max(total, 1) ** 0.5)), 1, 8192))
-    first = kmeans(sample, cells)
+def _cells(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Centres of cells; a cell with over four times its share of the sample is divided again."""
+    first = kmeans(sample, wanted)
+    at = _nearest(sample, first)
+    held = np.bincount(at, minlength=len(first))
+    full = np.flatnonzero(held > 4 * len(sample) / len(first))
+    parts = [kmeans(sample[at == c], int(held[c] * len(first) // len(sample)), seed=5) for c in full]
+    return np.concatenate([np.delete(first, full, 0), *parts]) if len(full) else first
+
+
+def _halved(centers: np.ndarray, held: np.ndarray, times: int) -> np.ndarray:
+    """Groups of near cells with about as many rows each: cells are halved along their main direction again and again."""
+    group = np.zeros(len(centers), np.int64)
+    for _ in range(times):
+        for g in range(int(group.max()) + 1):
+            own = np.flatnonzero(group == g)
+            if len(own) < 2:
+                continue
+            x = centers[own] - centers[own].mean(0)
+            order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")
+            before = np.cumsum(held[own[order]]) - held[own[order]]
+            upper = own[order[before * 2 >= held[own].sum()]]
+            if 0 < len(upper) < len(own):
+                group[upper] = group.max() + 1
+    return np.unique(group, return_inverse=True)[1]
+
+
+def _look(x: np.ndarray, model: dict) -> np.ndarray:
+    """Which cells each vector looks at, as a row of flags."""
+    score = x @ model["first"].T - model["half"]
+    n = score.shape[1]
+    if model["probes"] >= n:
+        return np.ones(score.shape, bool)
+    return score >= np.partition(score, n - model["probes"], axis=1)[:, n - model["probes"], None]
+
+
+def fit(sample: np.ndarray, total: int, exact: bool = False) -> dict:
+    """Residual codebooks of a sample of unit vectors, and the groups of cells for ``total`` vectors.
+
+    ``exact`` looks at all cells.
+    """
+    wanted = 2 ** max(0, round(np.log2(max(total, 1) ** 0.5) - 0.8))
+    first = _cells(sample, int(np.clip(wanted, 1, max(1, len(sample) // ROWS_A_CELL))))
     at = _nearest(sample, first)
     residual, books = sample - first[at], []
     for m in range(BOOKS):
-        book = kmeans(residual, BOOK_SIZE, rounds=5, seed=11 + m)
+        book = kmeans(residual, BOOK_SIZE, rounds=4, seed=11 + m)
         books.append(book)
         residual = residual - book[_nearest(residual, book)]
-    groups = max(1, min(len(first), -(-total // GROUP_ROWS)))
-    group = _nearest(first, kmeans(first, groups, seed=3))
-    # expected rows of a group from the sample tell into how many parts it is split
-    share = np.bincount(group[at], minlength=groups) / max(len(sample), 1)
-    parts = np.maximum(1, np.ceil(share * total / (3 * GROUP_ROWS))).astype(int)
-    return {"first": first, "books": books, "group": group, "parts": parts}
+    n = len(first)
+    model = {"first": first, "half": 0.5 * (first * first).sum(1), "books": books, "probes": n if exact else max(PROBES, round(PROBE_ROOT * n**0.5))}
+    group = _halved(first, np.bincount(at, minlength=n), max(0, round(np.log2(max(total, 1) / TASK_ROWS))))
+    groups = int(group.max()) + 1
+    # the rows at home in a group and those that ask in it, as the sample tells them, are split into parts
+    scale = total / max(len(sample), 1) / TASK_ROWS
+    asks = np.zeros(groups)
+    for s in range(0, len(sample), 4096):
+        seen = _look(sample[s : s + 4096], model)
+        asks += [seen[:, group == g].any(1).sum() for g in range(groups)]
+    split = lambda count: np.maximum(1, np.round(count * scale)).astype(np.int64)
+    return model | {"group": group, "groups": groups, "home_parts": split(np.bincount(group[at], minlength=groups)), "ask_parts": split(asks)}
 
 
 def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +138,9 @@ def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     codes = np.zeros((len(x), width, 0), np.uint8)
     for book in model["books"]:
         b, k = residual.shape[1], len(book)
-        distance = (residual**2).sum(2)[:, :, None] - 2 * (residual.reshape(-1, x.shape[1]) @ book.T).reshape(len(x), b, k) + (book * book).sum(1)
+        distance = (residual.reshape(-1, x.shape[1]) @ (-2 * book.T)).reshape(len(x), b, k)
+        distance += (book * book).sum(1)
+        distance += np.einsum("nbd,nbd->nb", residual, residual)[:, :, None]
         flat = distance.reshape(len(x), -1)
         keep = min(BEAM, flat.shape[1])
         best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(keep), (len(x), 1))
@@ -95,149 +153,220 @@ def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return cell[pick], codes[pick], np.linalg.norm(x - residual[pick], axis=1)
 
 
-def _unit_rows(batch: pa.RecordBatch, dims: int) -> tuple[pa.Array, np.ndarray]:
-    values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
-    values /= np.abs(values).max(1, keepdims=True)
-    return batch.column(0), (values / np.linalg.norm(values, axis=1, keepdims=True)).astype(np.float32)
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _binary(a: np.ndarray) -> pa.Array:
+    a = np.ascontiguousarray(a)
+    return pa.Array.from_buffers(pa.binary(a.shape[1] * a.itemsize), len(a), [None, pa.py_buffer(a)]).cast(pa.binary())
+
 
+def _floats(column: pa.Array | pa.ChunkedArray, kind, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims)
 
-def _route(held, probes: int, dims: int):
-    """One row for each vector and each group of cells that it looks at."""
+
+def _prepare(dims: int):
+    """``id, vector`` to ``id, v, vector``: rows that take part, their class and their numbers as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        half = 0.5 * (m["first"] ** 2).sum(1)
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1024):
-                ids, x = _unit_rows(whole.slice(s, 1024), dims)
-                cell, codes, norm = encode(x, m)
-                score = half - x @ m["first"].T
-                n = min(probes, score.shape[1])
-                look = np.argpartition(score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(x), 1))
-                # the home cell is always looked at
-                look = np.where((look == cell[:, None]).any(1)[:, None], look, np.c_[cell, look[:, 1:]])
-                row, group, cells, home, part = [], [], [], [], []
-                of = m["group"][look]
-                for i in range(len(x)):
-                    at = m["group"][cell[i]]
-                    # a vector lives in one part of its group and is compared with all parts
-                    own = hash_part(ids[i].as_py(), m["parts"][at])
-                    for g in np.unique(of[i]).tolist():
-                        for p in range(m["parts"][g]):
-                            row.append(i)
-                            group.append(g)
-                            part.append(p)
-                            cells.append(look[i][of[i] == g].tolist())
-                            home.append(int(cell[i]) if g == at and p == own else -1)
-                take = np.array(row)
-                binary = lambda a: pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.shape[1] * a.itemsize), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(group, np.int32)), pa.array(np.array(part, np.int32)), ids.take(pa.array(take)), pa.array(np.array(home, np.int32)), pa.array(cells, pa.list_(pa.int32())), binary(codes[take]), pa.array(norm[take].astype(np.float32)), binary(x[take])],
-                    names=["group", "part", "id", "home", "cells", "codes", "norm", "vector"],
-                )
+        for batch in batches:
+            lists = batch.column(1)
+            long = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(lists), dims), False)
+            batch = batch.filter(pa.compute.and_(long, batch.column(0).is_valid()))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)  # null numbers become nan
+            fine = np.isfinite(x).all(1) & (x != 0).any(1)
+            x = x[fine]
+            largest = np.abs(x).max(1, keepdims=True, initial=0)
+            # numbers beyond the range of floats are scaled, all others stay as they are
+            raw = np.where((largest > 1e30) | (largest < 1e-30), x / largest, x).astype(np.float32)
+            direction = _unit(raw) + np.float32(0)
+            v = np.array([xxhash.xxh3_64_intdigest(d.tobytes()) for d in direction], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), pa.array(v), _binary(raw)], names=["id", "v", "vector"])
 
     return run
 
 
-def hash_part(key: str, parts: int) -> int:
-    import zlib
+_ROUTED = "group int, home_part int, ask_part int, v long, asks boolean, home int, codes binary, norm float, vector binary"
 
-    return zlib.crc32(str(key).encode()) % int(parts)
 
+def _route(held, dims: int):
+    """One row for each class and each task that it is at home in, asks in, or both."""
 
-def _search(held, k: int, least: float):
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        # a repeated row counts once
-        rows = rows.take(pa.array(np.unique(np.array([hash(r) for r in zip(rows.column("id").to_pylist(), rows.column("vector").to_pylist())]), return_index=True)[1]))
-        ids = rows.column("id").combine_chunks()
-        home = rows.column("home").to_numpy()
-        dims = m["first"].shape[1]
-        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, dims)
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        norm = np.maximum(rows.column("norm").to_numpy(), 1e-9)
-        listed = rows.column("cells").combine_chunks()
-        owner = np.repeat(np.arange(len(x)), np.diff(listed.offsets.to_numpy()))
-        flat = listed.flatten().to_numpy()
-        by_cell = np.argsort(flat, kind="stable")
-        cells, first = np.unique(flat[by_cell], return_index=True)
-        last = np.r_[first[1:], len(flat)]
-        found_q, found_x, found_c = [], [], []
-        for cell, a, b in zip(cells.tolist(), first.tolist(), last.tolist()):
-            base = np.flatnonzero(home == cell)
-            if not len(base):
-                continue
-            asking = owner[by_cell[a:b]]
-            for s in range(0, len(asking), 256):
-                q = asking[s : s + 256]
-                near = np.repeat((x[q] @ m["first"][cell])[:, None], len(base), 1)
-                for j, book in enumerate(m["books"]):
-                    near += np.take(x[q] @ book.T, codes[base, j], axis=1)
-                near /= norm[base]
-                keep = min(SHORTLIST, len(base))
-                short = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(base) else np.tile(np.arange(keep), (len(q), 1))
-                picked = base[short]
-                exact = np.einsum("qd,qkd->qk", x[q], x[picked])
-                i, j = np.nonzero((exact >= least) & (picked != q[:, None]))
-                found_q.append(q[i])
-                found_x.append(picked[i, j])
-                found_c.append(exact[i, j])
-        q, y, c = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((found_q, np.int64), (found_x, np.int64), (found_c, np.float32)))
-        order = np.lexsort((-c, q))
-        q, y, c = q[order], y[order], c[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        q, y, c = q[rank < k], y[rank < k], c[rank < k]
-        return pa.table({"id": ids.take(pa.array(q)), "other": ids.take(pa.array(y)), "cosine": pa.array(c.astype(np.float64))})
+        flags = np.zeros((len(m["first"]), m["groups"]), np.float32)
+        flags[np.arange(len(flags)), m["group"]] = 1
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                batch = whole.slice(s, 1024)
+                v, raw = batch.column(0).to_numpy(), _floats(batch.column(1), np.float32, dims)
+                x = _unit(raw)
+                cell, codes, norm = encode(x, m)
+                home = m["group"][cell]
+                asks = (_look(x, m).astype(np.float32) @ flags) > 0
+                asks[np.arange(len(x)), home] = True
+                mixed = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                own_home = ((mixed >> np.uint64(40)) % m["home_parts"][home].astype(np.uint64)).astype(np.int64)
+                # as a query: to every home part of each group it asks
+                row, group = np.nonzero(asks)
+                own_ask = ((mixed[row] >> np.uint64(20)) % m["ask_parts"][group].astype(np.uint64)).astype(np.int64)
+                q, q_part = _repeated(m["home_parts"][group])
+                # as a base vector: to every ask part of its group; where both meet, one row has both roles
+                b, b_part = _repeated(m["ask_parts"][home])
+                mine = np.flatnonzero(group == home[row])
+                b, b_part = b[b_part != own_ask[mine][b]], b_part[b_part != own_ask[mine][b]]
+                at = np.r_[row[q], b]
+                to_group, to_home, to_ask = np.r_[group[q], home[b]], np.r_[q_part, own_home[b]], np.r_[own_ask[q], b_part]
+                based = (to_group == home[at]) & (to_home == own_home[at])
+                asking = np.r_[np.ones(len(q), bool), np.zeros(len(b), bool)]
+                out = [pa.array(a.astype(np.int32)) for a in (to_group, to_home, to_ask)] + [pa.array(v[at]), pa.array(asking), pa.array(np.where(based, cell[at], -1).astype(np.int32))]
+                take = pa.array(np.where(based, at, 0), mask=~based)
+                out += [_binary(codes).take(take), pa.array(norm.astype(np.float32)).take(take), _binary(raw[at])]
+                yield pa.RecordBatch.from_arrays(out, names=[c.split(" ")[0] for c in _ROUTED.split(", ")])
 
     return run
 
 
-def valid_vectors(records: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
-    """``id, vector`` of the rows that take part: ``dims`` finite numbers, not all zero."""
-    v = F.col("vector").cast("array<double>")
-    fine = F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("vector", lambda e: e != 0)
-    rows = records.where("chunk_id is not null and vector is not null").select(F.col("chunk_id").alias("id"), v.alias("vector"))
-    return rows.where((F.size("vector") == dims) & fine)
+def _repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place as often as told, and the number of each repeat."""
+    at = np.repeat(np.arange(len(times)), times)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _shortlist(x: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate cosines and places of the best codes in the cells that each query looks at, a row a query."""
+    seen = _look(x, m)
+    # a table for each codebook: product of every codeword with every query
+    tables = [book @ x.T for book in m["books"]]
+    asked = [np.flatnonzero(seen[:, cell]) for cell, _, _ in cells]
+    used = np.zeros(len(x), np.int64)
+    for q in asked:
+        used[q] += 1
+    best = np.full((len(x), max(used.max(initial=0), 1), CELL_BEST), -np.inf, np.float32)
+    place = np.zeros(best.shape, np.int32)
+    used[:] = 0
+    for q, (cell, a, b) in zip(asked, cells):
+        if not len(q):
+            continue
+        score = np.repeat((m["first"][cell] @ x[q].T)[None], b - a, 0)
+        part = np.empty_like(score)
+        for j, products in enumerate(tables):
+            np.take(np.take(products, q, axis=1), codes[a:b, j], axis=0, out=part, mode="clip")
+            score += part
+        score /= norm[a:b, None]
+        score = np.ascontiguousarray(score.T)
+        keep = min(CELL_BEST, b - a)
+        at = np.argpartition(score, b - a - keep, axis=1)[:, b - a - keep :]
+        best[q, used[q], :keep] = np.take_along_axis(score, at, 1)
+        place[q, used[q], :keep] = at + a
+        used[q] += 1
+    return best.reshape(len(x), -1), place.reshape(len(x), -1)
+
+
+def _compared(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the shortlist of each query with their places in ``base``; -inf where there is none."""
+    best, place = _shortlist(x, m, cells, codes, norm)
+    n = min(SHORTLIST, best.shape[1])
+    at = np.argpartition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n :]
+    none, place = np.take_along_axis(best, at, 1) == -np.inf, np.take_along_axis(place, at, 1)
+    cosine = np.empty(place.shape, np.float32)
+    for s in range(0, len(x), 64):
+        cosine[s : s + 64] = np.matmul(base[place[s : s + 64]], x[s : s + 64, :, None])[:, :, 0]
+    cosine[none] = -np.inf
+    return cosine, place
+
+
+def _search(held, k: int, least: float, exact: bool, dims: int):
+    def run(rows: pa.Table) -> pa.Table:
+        m = held.value
+        # a repeated row counts once; a row with codes stands before one without
+        v, home = rows.column("v").to_numpy(), rows.column("home").to_numpy()
+        first = np.unique(v, return_index=True)[1]
+        v, home, asks = v[first], home[first], rows.column("asks").to_numpy()[first]
+        raw = _floats(rows.column("vector").take(pa.array(first)), np.float32, dims)
+        x = _unit(raw)
+        based = np.flatnonzero(home >= 0)
+        based = based[np.argsort(home[based], kind="stable")]
+        at = pa.array(first[based])
+        codes = _floats(rows.column("codes").take(at), np.uint8, len(m["books"])).astype(np.intp)
+        norm = np.maximum(rows.column("norm").take(at).to_numpy().astype(np.float32), 1e-9)
+        cell, begin = np.unique(home[based], return_index=True)
+        cells = list(zip(cell.tolist(), begin.tolist(), [*begin[1:].tolist(), len(based)]))
+        asking = np.flatnonzero(asks)
+        asking = asking[np.argsort(_nearest(x[asking], m["first"]), kind="stable")]
+        found, base = [], x[based]
+        for s in range(0, len(asking) if len(based) else 0, QUERY_BLOCK):
+            q = asking[s : s + QUERY_BLOCK]
+            if exact:
+                cosine, place = x[q] @ base.T, None
+            else:
+                cosine, place = _compared(x[q], base, m, cells, codes, norm)
+            # a few more than wanted, whose cosines are then those of the vectors as given
+            few = min(k + 5, cosine.shape[1])
+            at = np.argpartition(cosine, cosine.shape[1] - few, axis=1)[:, cosine.shape[1] - few :]
+            a, b = np.nonzero(np.take_along_axis(cosine, at, 1) >= max(least - 1e-5, -2))
+            y = based[at[a, b] if place is None else place[a, at[a, b]]]
+            a, y = a[y != q[a]], y[y != q[a]]
+            left, right = raw[q[a]].astype(np.float64), raw[y].astype(np.float64)
+            cosine = np.round(np.einsum("ij,ij->i", left, right) / (np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)), 9)
+            order = np.lexsort((v[y], -cosine, a))
+            a, y, cosine = a[order], y[order], cosine[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            keep = (rank < k) & (cosine >= least)
+            found.append((v[q[a[keep]]], v[y[keep]], cosine[keep]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("v", "other", "cosine"), columns)))
+
+    return run
 
 
-def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, probes: int = PROBES, dims: int = DIMENSIONS) -> DataFrame:
+def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, exact: bool = False, dims: int = DIMENSIONS) -> DataFrame:
     """``id, other, cosine, rank``: the ``k`` most similar other rows of every row, of cosine ``least`` or more.
 
     Rows with a null id or with a null, short, empty, all-zero or not-finite vector take no
-    part. Repeated rows count once; an id with several vectors is as near as its nearest one. Equal vectors are searched once and joined back; equal
-    cosines are ranked by id. An empty table gives an empty result. Only ``chunk_id`` and
-    ``vector`` are read.
+    part. Repeated rows count once; an id with several vectors is as near as its nearest one.
+    Vectors of one direction are searched once. Cosines have nine digits; equal ones are ranked
+    by id, and which of them stands at the last place is open. An empty table gives an empty
+    result. Only ``chunk_id`` and ``vector`` are read. ``exact`` compares every vector with
+    every other one, in blocks; without it a small part of the neighbours may be missed.
     """
     spark = records.sparkSession
-    rows = valid_vectors(records, dims)
-    # equal vectors form a class: only its smallest id is searched
-    prints = stored(rows.select("id", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g")).distinct())
-    classes = prints.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = stored(prints.join(classes, ["h", "g"]).select("rep", F.col("id").alias("member")).distinct())
-    copies = members.where("member <> rep").select(F.col("member").alias("id"))
-    single = rows.join(small_or_shuffled(stored(copies)), "id", "left_anti")
-    total = prints.count()
-    sample = single.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, 0.9 * SAMPLE_ROWS / max(total, 1)) * 1_000_000)).limit(SAMPLE_ROWS).toArrow()
+    schema = f"id {records.schema['chunk_id'].dataType.simpleString()}, v long, vector binary"
+    rows = records.select("chunk_id", "vector").mapInArrow(_prepare(dims), schema)
+    members = stored(rows.select("id", "v").distinct())
+    counts = members.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    total = counts.count()
     if not total:
-        return spark.createDataFrame([], "id string, other string, cosine double, rank int")
-    if not sample.num_rows:
-        sample = single.limit(SAMPLE_ROWS).toArrow()
-    _, x = _unit_rows(sample.combine_chunks().to_batches()[0], dims)
-    held = spark.sparkContext.broadcast(fit(x, total))
-    routed = single.mapInArrow(_route(held, probes, dims), "group int, part int, id string, home int, cells array<int>, codes binary, norm float, vector binary")
-    found = routed.groupBy("group", "part").applyInArrow(_search(held, k, least), "id string, other string, cosine double")
-    found = found.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    top = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
-    # copies: k + 1 of a class are enough for anyone's list
-    few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("r") <= k + 1).select("rep", "member")
-    few = small_or_shuffled(stored(few))
-    wide = top.join(few.withColumnRenamed("rep", "other"), "other", "left").select("id", F.coalesce("member", "other").alias("other"), "cosine")
-    own = few.select(F.col("rep").alias("id"), F.col("member").alias("other"), F.lit(1.0).alias("cosine"))
-    lists = wide.unionByName(own).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).drop("rank")
-    lists = stored(lists)
-    each = lists.join(members.withColumnRenamed("rep", "id"), "id", "left").select(F.coalesce("member", "id").alias("id"), "other", "cosine").where("id <> other")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return spark.createDataFrame([], f"id {members.schema['id'].dataType.simpleString()}, other string, cosine double, rank int")
+    # the smallest id of a class stands for it
+    copies = stored(members.join(counts.where("n > 1").select("v", F.col("id").alias("rep")), "v").where("id <> rep").select("id", "v"))
+    single = rows.join(small_or_shuffled(copies), ["id", "v"], "left_anti").select("v", "vector")
+    share = int(min(1.0, SAMPLE_ROWS / total) * 1_000_000)
+    sample = single.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < share).limit(SAMPLE_ROWS).toArrow()
+    sample = sample if sample.num_rows else single.limit(SAMPLE_ROWS).toArrow()
+    held = spark.sparkContext.broadcast(fit(_unit(_floats(sample.column("vector"), np.float32, dims)), total, exact))
+    routed = single.mapInArrow(_route(held, dims), _ROUTED)
+    # ids with several vectors can take more than one place of a list
+    several = members.groupBy("id").count().agg(F.max("count")).first()[0]
+    wanted = k * min(several, 4) + (several > 1)
+    found = routed.groupBy("group", "home_part", "ask_part").applyInArrow(_search(held, wanted, least, exact, dims), "v long, other long, cosine double")
+    best = Window.partitionBy("v").orderBy(F.desc("cosine"), "other")
+    top = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= wanted).drop("rank"))
+    # the first ids of a class are enough for anyone's list
+    first = Window.partitionBy("v").orderBy("id")
+    few = stored(members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= wanted + 1).drop("r"))
+    named = top.join(few.select(F.col("v").alias("other"), F.col("id").alias("name")), "other").select("v", "name", "cosine")
+    own = few.join(copies.select("v").distinct(), "v", "left_semi").select("v", F.col("id").alias("name"), F.lit(1.0).alias("cosine"))
+    entry = F.struct((-F.col("cosine")).alias("order"), "name")
+    lists = named.unionByName(own).groupBy("v").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, wanted + 1).alias("near"))
+    each = members.join(lists, "v").select("id", F.filter("near", lambda x: x["name"] != F.col("id")).alias("near"))
+    if several > 1:
+        pairs = each.select("id", F.explode("near").alias("x")).groupBy("id", "x.name").agg(F.min("x.order").alias("order"))
+        each = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("order", "name"))).alias("near"))
+    ranked = each.select("id", F.posexplode(F.slice("near", 1, k)).alias("rank", "x"))
+    return ranked.select("id", F.col("x.name").alias("other"), (-F.col("x.order")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,18 +375,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten most similar chunks of each chunk, whatever their cosine; wider search, as they are spread out."""
-    near = neighbours(table(spark, folder, "vector_records", "chunk_id", "vector"), probes=16)
+    """The ten most similar chunks of each chunk, whatever their cosine."""
+    near = neighbours(table(spark, folder, "vector_records", "chunk_id", "vector"))
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
-SQL = {
-    "p1_found": """
+_COSINES = """
 with v as (select distinct chunk_id, vector from vector_records where chunk_id is not null and len(vector) = 96),
      f as (select chunk_id, cast(vector as double[96]) vector from v
            where len(list_filter(vector, lambda e: e is not null and isfinite(e))) = 96 and len(list_filter(vector, lambda e: e <> 0)) > 0),
-     c as (select a.chunk_id a, b.chunk_id b, array_cosine_similarity(a.vector, b.vector) s from f a join f b on a.chunk_id <> b.chunk_id),
-     r as (select a, b, row_number() over (partition by a order by s desc, b) r from c where s >= 0.85)
+     c as (select a.chunk_id a, b.chunk_id b, max(round(array_cosine_similarity(a.vector, b.vector), 9)) s from f a join f b on a.chunk_id <> b.chunk_id group by all)"""
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+SQL = {
+    "p1_found": _COSINES
+    + """, r as (select a, b, row_number() over (partition by a order by s desc, b) r from c where s >= 0.85)
 select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from r where r <= 10""",
+    "p1_neighbours": _COSINES
+    + """, r as (select a, b, s, cast(row_number() over (partition by a order by s desc, b) as int) r from c)
+select a chunk_id, b neighbour_id, r as rank, round(s, 6) cosine from r where r <= 10""",
 }
