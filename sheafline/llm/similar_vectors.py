@@ -25,20 +25,23 @@ from sheafline.sources.tables import table
 
 DIMENSIONS = 96
 #: Codebooks are fitted on a sample of at most so many vectors; every vector is then indexed.
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 32_000
 #: Cells number half the root of the rows, as far as the sample has so many rows for each.
 ROWS_A_CELL = 8
 #: Codebooks after the first, their size, and the width of the encoding beam.
-BOOKS, BOOK_SIZE, BEAM = 15, 256, 4
+BOOKS, BOOK_SIZE, BEAM = 15, 256, 2
 #: Cells looked at for a vector: so many, or PROBE_ROOT times the root of their number where that is more.
 PROBES, PROBE_ROOT = 24, 1.5
 #: Best codes kept of each cell for a query, and those of one task that are ranked again with their vectors.
 CELL_BEST, SHORTLIST = 64, 640
+#: A code's cosine is taken to be at most so much under the true one: with a least cosine, codes
+#: that stay further below it are passed over, and all others are ranked again.
+MARGIN = 0.4
 #: Vectors at home in one task, and vectors that ask in it, about: fuller groups of cells are
 #: split on both sides.
 TASK_ROWS = 80_000
 #: Queries scored together.
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 8_192
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -235,47 +238,64 @@ def _repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _shortlist(x: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate cosines and places of the best codes in the cells that each query looks at, a row a query."""
+def _scored(x: np.ndarray, m: dict, cells: list, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray, float]]:
+    """For each cell: the queries that look at it, the span of its codes, their products (code by query) as whole numbers, and the scale of these."""
     seen = _look(x, m)
-    # a table for each codebook: product of every codeword with every query
-    tables = [book @ x.T for book in m["books"]]
-    asked = [np.flatnonzero(seen[:, cell]) for cell, _, _ in cells]
+    # a table for each codebook: product of every codeword with every query, so small that all sums fit in 16 bits
+    tables, heads = [book @ x.T for book in m["books"]], m["first"] @ x.T
+    scale = 32_000 / max(sum(float(np.abs(t).max()) for t in [heads, *tables]), 1e-9)
+    tables, heads = [np.rint(t * scale).astype(np.int16) for t in tables], np.rint(heads * scale).astype(np.int16)
+    for cell, a, b in cells:
+        q = np.flatnonzero(seen[:, cell])
+        if len(q):
+            score = np.repeat(heads[cell, q][None], b - a, 0)
+            part = np.empty_like(score)
+            for j, products in enumerate(tables):
+                np.take(np.take(products, q, axis=1), codes[a:b, j], axis=0, out=part, mode="clip")
+                score += part
+            yield q, a, b, score, scale
+
+
+def _over(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray, least: float, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and place of the ``few`` best vectors of each query among all those whose code reaches ``least`` less MARGIN."""
+    queries, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q, a, b, score, scale in _scored(x, m, cells, codes):
+        i, j = np.nonzero(score >= np.clip((least - MARGIN) * scale * norm[a:b, None], -32_000, 32_000).astype(np.int16))
+        queries.append(q[j])
+        places.append(i + a)
+    q, place = np.concatenate(queries), np.concatenate(places)
+    cosine = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", x[q[s : s + 65_536]], base[place[s : s + 65_536]]) for s in range(0, len(q), 65_536)]])
+    q, place, cosine = (c[cosine >= least - 1e-5] for c in (q, place, cosine))
+    order = np.lexsort((-cosine, q))
+    q, place = q[order], place[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < few
+    return q[best], place[best]
+
+
+def _best(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and place of the ``few`` best vectors of each query among the SHORTLIST of best codes."""
+    scored = np.full((len(x), m["probes"] * CELL_BEST), -np.inf, np.float32)
+    place = np.zeros(scored.shape, np.int32)
     used = np.zeros(len(x), np.int64)
-    for q in asked:
-        used[q] += 1
-    best = np.full((len(x), max(used.max(initial=0), 1), CELL_BEST), -np.inf, np.float32)
-    place = np.zeros(best.shape, np.int32)
-    used[:] = 0
-    for q, (cell, a, b) in zip(asked, cells):
-        if not len(q):
-            continue
-        score = np.repeat((m["first"][cell] @ x[q].T)[None], b - a, 0)
-        part = np.empty_like(score)
-        for j, products in enumerate(tables):
-            np.take(np.take(products, q, axis=1), codes[a:b, j], axis=0, out=part, mode="clip")
-            score += part
-        score /= norm[a:b, None]
-        score = np.ascontiguousarray(score.T)
+    slots = np.arange(CELL_BEST)
+    for q, a, b, score, scale in _scored(x, m, cells, codes):
+        near = np.ascontiguousarray((score / (scale * norm[a:b, None])).T)
         keep = min(CELL_BEST, b - a)
-        at = np.argpartition(score, b - a - keep, axis=1)[:, b - a - keep :]
-        best[q, used[q], :keep] = np.take_along_axis(score, at, 1)
-        place[q, used[q], :keep] = at + a
-        used[q] += 1
-    return best.reshape(len(x), -1), place.reshape(len(x), -1)
-
-
-def _compared(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines of the shortlist of each query with their places in ``base``; -inf where there is none."""
-    best, place = _shortlist(x, m, cells, codes, norm)
-    n = min(SHORTLIST, best.shape[1])
-    at = np.argpartition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n :]
-    none, place = np.take_along_axis(best, at, 1) == -np.inf, np.take_along_axis(place, at, 1)
+        at = np.argpartition(near, b - a - keep, axis=1)[:, b - a - keep :]
+        to = (q[:, None], used[q, None] + slots[:keep])
+        scored[to], place[to] = np.take_along_axis(near, at, 1), at + a
+        used[q] += keep
+    n = min(SHORTLIST, max(int(used.max()), 1))
+    at = np.argpartition(scored, scored.shape[1] - n, axis=1)[:, scored.shape[1] - n :]
+    none, place = np.take_along_axis(scored, at, 1) == -np.inf, np.take_along_axis(place, at, 1)
     cosine = np.empty(place.shape, np.float32)
     for s in range(0, len(x), 64):
         cosine[s : s + 64] = np.matmul(base[place[s : s + 64]], x[s : s + 64, :, None])[:, :, 0]
     cosine[none] = -np.inf
-    return cosine, place
+    few = min(few, n)
+    at = np.argpartition(cosine, n - few, axis=1)[:, n - few :]
+    q, at = np.repeat(np.arange(len(x)), few), at.ravel()
+    return q[cosine[q, at] > -np.inf], place[q, at][cosine[q, at] > -np.inf]
 
 
 def _search(held, k: int, least: float, exact: bool, dims: int):
@@ -299,15 +319,18 @@ def _search(held, k: int, least: float, exact: bool, dims: int):
         found, base = [], x[based]
         for s in range(0, len(asking) if len(based) else 0, QUERY_BLOCK):
             q = asking[s : s + QUERY_BLOCK]
+            # a few more than wanted, whose cosines are then those of the vectors as given
+            few = k + 5
             if exact:
-                cosine, place = x[q] @ base.T, None
+                cosine = x[q] @ base.T
+                few = min(few, len(based))
+                place = np.argpartition(cosine, len(based) - few, axis=1)[:, len(based) - few :].ravel()
+                a = np.repeat(np.arange(len(q)), few)
+            elif least - MARGIN > -1:
+                a, place = _over(x[q], base, m, cells, codes, norm, least, few)
             else:
-                cosine, place = _compared(x[q], base, m, cells, codes, norm)
-            # a few more than wanted, whose cosines are then those of the vectors as given
-            few = min(k + 5, cosine.shape[1])
-            at = np.argpartition(cosine, cosine.shape[1] - few, axis=1)[:, cosine.shape[1] - few :]
-            a, b = np.nonzero(np.take_along_axis(cosine, at, 1) >= max(least - 1e-5, -2))
-            y = based[at[a, b] if place is None else place[a, at[a, b]]]
+                a, place = _best(x[q], base, m, cells, codes, norm, few)
+            y = based[place]
             a, y = a[y != q[a]], y[y != q[a]]
             left, right = raw[q[a]].astype(np.float64), raw[y].astype(np.float64)
             cosine = np.round(np.einsum("ij,ij->i", left, right) / (np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)), 9)
