@@ -25,23 +25,24 @@ from sheafline.sources.tables import table
 
 DIMENSIONS = 96
 #: Codebooks are fitted on a sample of at most so many vectors; every vector is then indexed.
-SAMPLE_ROWS = 32_000
-#: Cells number half the root of the rows, as far as the sample has so many rows for each.
+SAMPLE_ROWS = 40_000
+#: Cells number the root of the rows, as far as the sample has so many rows for each.
 ROWS_A_CELL = 8
 #: Codebooks after the first, their size, and the width of the encoding beam.
-BOOKS, BOOK_SIZE, BEAM = 15, 256, 2
-#: Cells looked at for a vector: so many, or PROBE_ROOT times the root of their number where that is more.
-PROBES, PROBE_ROOT = 24, 1.5
+BOOKS, BOOK_SIZE, BEAM = 15, 256, 3
+#: Cells looked at for a vector, or twice the root of the number of cells where that is more. Vectors
+#: of a cosine of 0.85 or more lie in the nearest cells: fewer find them all.
+PROBES, CLOSE_PROBES = 64, 24
 #: Best codes kept of each cell for a query, and those of one task that are ranked again with their vectors.
-CELL_BEST, SHORTLIST = 64, 640
+CELL_BEST, SHORTLIST = 48, 640
 #: A code's cosine is taken to be at most so much under the true one: with a least cosine, codes
 #: that stay further below it are passed over, and all others are ranked again.
 MARGIN = 0.4
 #: Vectors at home in one task, and vectors that ask in it, about: fuller groups of cells are
 #: split on both sides.
-TASK_ROWS = 80_000
+TASK_ROWS = 48_000
 #: Queries scored together.
-QUERY_BLOCK = 8_192
+QUERY_BLOCK = 4_096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -103,12 +104,12 @@ def _look(x: np.ndarray, model: dict) -> np.ndarray:
     return score >= np.partition(score, n - model["probes"], axis=1)[:, n - model["probes"], None]
 
 
-def fit(sample: np.ndarray, total: int, exact: bool = False) -> dict:
+def fit(sample: np.ndarray, total: int, probes: int = PROBES, exact: bool = False) -> dict:
     """Residual codebooks of a sample of unit vectors, and the groups of cells for ``total`` vectors.
 
     ``exact`` looks at all cells.
     """
-    wanted = 2 ** max(0, round(np.log2(max(total, 1) ** 0.5) - 0.8))
+    wanted = 2 ** round(np.log2(max(total, 1) ** 0.5))
     first = _cells(sample, int(np.clip(wanted, 1, max(1, len(sample) // ROWS_A_CELL))))
     at = _nearest(sample, first)
     residual, books = sample - first[at], []
@@ -117,7 +118,7 @@ def fit(sample: np.ndarray, total: int, exact: bool = False) -> dict:
         books.append(book)
         residual = residual - book[_nearest(residual, book)]
     n = len(first)
-    model = {"first": first, "half": 0.5 * (first * first).sum(1), "books": books, "probes": n if exact else max(PROBES, round(PROBE_ROOT * n**0.5))}
+    model = {"first": first, "half": 0.5 * (first * first).sum(1), "books": books, "probes": n if exact else max(probes, round(2 * n**0.5 * probes / PROBES))}
     group = _halved(first, np.bincount(at, minlength=n), max(0, round(np.log2(max(total, 1) / TASK_ROWS))))
     groups = int(group.max()) + 1
     # the rows at home in a group and those that ask in it, as the sample tells them, are split into parts
@@ -157,8 +158,7 @@ def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return raw / np.sqrt(np.einsum("nd,nd->n", raw, raw, dtype=np.float64)).astype(np.float32)[:, None]
 
 
 def _binary(a: np.ndarray) -> pa.Array:
@@ -183,7 +183,7 @@ def _prepare(dims: int):
             x = x[fine]
             largest = np.abs(x).max(1, keepdims=True, initial=0)
             # numbers beyond the range of floats are scaled, all others stay as they are
-            raw = np.where((largest > 1e30) | (largest < 1e-30), x / largest, x).astype(np.float32)
+            raw = np.where((largest > 1e15) | (largest < 1e-15), x / largest, x).astype(np.float32)
             direction = _unit(raw) + np.float32(0)
             v = np.array([xxhash.xxh3_64_intdigest(d.tobytes()) for d in direction], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), pa.array(v), _binary(raw)], names=["id", "v", "vector"])
@@ -345,7 +345,7 @@ def _search(held, k: int, least: float, exact: bool, dims: int):
     return run
 
 
-def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, exact: bool = False, dims: int = DIMENSIONS) -> DataFrame:
+def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, probes: int = PROBES, exact: bool = False, dims: int = DIMENSIONS) -> DataFrame:
     """``id, other, cosine, rank``: the ``k`` most similar other rows of every row, of cosine ``least`` or more.
 
     Rows with a null id or with a null, short, empty, all-zero or not-finite vector take no
@@ -369,7 +369,7 @@ def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, exact: bool
     share = int(min(1.0, SAMPLE_ROWS / total) * 1_000_000)
     sample = single.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < share).limit(SAMPLE_ROWS).toArrow()
     sample = sample if sample.num_rows else single.limit(SAMPLE_ROWS).toArrow()
-    held = spark.sparkContext.broadcast(fit(_unit(_floats(sample.column("vector"), np.float32, dims)), total, exact))
+    held = spark.sparkContext.broadcast(fit(_unit(_floats(sample.column("vector"), np.float32, dims)), total, probes, exact))
     routed = single.mapInArrow(_route(held, dims), _ROUTED)
     # ids with several vectors can take more than one place of a list
     several = members.groupBy("id").count().agg(F.max("count")).first()[0]
@@ -393,7 +393,7 @@ def neighbours(records: DataFrame, k: int = 10, least: float = -1.0, exact: bool
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = neighbours(table(spark, folder, "vector_records", "chunk_id", "vector"), least=0.85)
+    near = neighbours(table(spark, folder, "vector_records", "chunk_id", "vector"), least=0.85, probes=CLOSE_PROBES)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
