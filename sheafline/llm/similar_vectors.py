@@ -32,9 +32,10 @@ ROWS_A_CELL = 8
 BOOKS, BOOK_SIZE, BEAM = 15, 256, 3
 #: Cells looked at for a vector, or twice the root of the number of cells where that is more. Vectors
 #: of a cosine of 0.85 or more lie in the nearest cells: fewer find them all.
-PROBES, CLOSE_PROBES = 64, 24
-#: Best codes kept of each cell for a query, and those of one task that are ranked again with their vectors.
-CELL_BEST, SHORTLIST = 48, 640
+PROBES, CLOSE_PROBES = 64, 12
+#: Best codes kept for a query of each of its nearest NEAR cells and of each other one, and those of
+#: one task that are ranked again with their vectors.
+NEAR, NEAR_BEST, FAR_BEST, SHORTLIST = 8, 192, 32, 640
 #: A code's cosine is taken to be at most so much under the true one: with a least cosine, codes
 #: that stay further below it are passed over, and all others are ranked again.
 MARGIN = 0.4
@@ -95,13 +96,13 @@ def _halved(centers: np.ndarray, held: np.ndarray, times: int) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def _look(x: np.ndarray, model: dict) -> np.ndarray:
+def _look(x: np.ndarray, model: dict, probes: int | None = None) -> np.ndarray:
     """Which cells each vector looks at, as a row of flags."""
     score = x @ model["first"].T - model["half"]
-    n = score.shape[1]
-    if model["probes"] >= n:
+    n, probes = score.shape[1], probes or model["probes"]
+    if probes >= n:
         return np.ones(score.shape, bool)
-    return score >= np.partition(score, n - model["probes"], axis=1)[:, n - model["probes"], None]
+    return score >= np.partition(score, n - probes, axis=1)[:, n - probes, None]
 
 
 def fit(sample: np.ndarray, total: int, probes: int = PROBES, exact: bool = False) -> dict:
@@ -238,8 +239,8 @@ def _repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _scored(x: np.ndarray, m: dict, cells: list, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray, float]]:
-    """For each cell: the queries that look at it, the span of its codes, their products (code by query) as whole numbers, and the scale of these."""
+def _scored(x: np.ndarray, m: dict, cells: list, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, int, np.ndarray, float]]:
+    """For each cell: its number, the queries that look at it, the span of its codes, their products (code by query) as whole numbers, and the scale of these."""
     seen = _look(x, m)
     # a table for each codebook: product of every codeword with every query, so small that all sums fit in 16 bits
     tables, heads = [book @ x.T for book in m["books"]], m["first"] @ x.T
@@ -253,13 +254,13 @@ def _scored(x: np.ndarray, m: dict, cells: list, codes: np.ndarray) -> Iterator[
             for j, products in enumerate(tables):
                 np.take(np.take(products, q, axis=1), codes[a:b, j], axis=0, out=part, mode="clip")
                 score += part
-            yield q, a, b, score, scale
+            yield cell, q, a, b, score, scale
 
 
 def _over(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray, least: float, few: int) -> tuple[np.ndarray, np.ndarray]:
     """Query and place of the ``few`` best vectors of each query among all those whose code reaches ``least`` less MARGIN."""
     queries, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for q, a, b, score, scale in _scored(x, m, cells, codes):
+    for cell, q, a, b, score, scale in _scored(x, m, cells, codes):
         i, j = np.nonzero(score >= np.clip((least - MARGIN) * scale * norm[a:b, None], -32_000, 32_000).astype(np.int16))
         queries.append(q[j])
         places.append(i + a)
@@ -274,17 +275,19 @@ def _over(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarr
 
 def _best(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
     """Query and place of the ``few`` best vectors of each query among the SHORTLIST of best codes."""
-    scored = np.full((len(x), m["probes"] * CELL_BEST), -np.inf, np.float32)
+    scored = np.full((len(x), NEAR * NEAR_BEST + m["probes"] * FAR_BEST), -np.inf, np.float32)
     place = np.zeros(scored.shape, np.int32)
     used = np.zeros(len(x), np.int64)
-    slots = np.arange(CELL_BEST)
-    for q, a, b, score, scale in _scored(x, m, cells, codes):
-        near = np.ascontiguousarray((score / (scale * norm[a:b, None])).T)
-        keep = min(CELL_BEST, b - a)
-        at = np.argpartition(near, b - a - keep, axis=1)[:, b - a - keep :]
-        to = (q[:, None], used[q, None] + slots[:keep])
-        scored[to], place[to] = np.take_along_axis(near, at, 1), at + a
-        used[q] += keep
+    close = _look(x, m, NEAR)
+    for cell, q, a, b, score, scale in _scored(x, m, cells, codes):
+        score = np.ascontiguousarray((score / (scale * norm[a:b, None])).T)
+        for which, most in ((close[q, cell], NEAR_BEST), (~close[q, cell], FAR_BEST)):
+            own, part, keep = q[which], score[which], min(most, b - a)
+            if len(own):
+                at = np.argpartition(part, b - a - keep, axis=1)[:, b - a - keep :]
+                to = (own[:, None], used[own, None] + np.arange(keep))
+                scored[to], place[to] = np.take_along_axis(part, at, 1), at + a
+                used[own] += keep
     n = min(SHORTLIST, max(int(used.max()), 1))
     at = np.argpartition(scored, scored.shape[1] - n, axis=1)[:, scored.shape[1] - n :]
     none, place = np.take_along_axis(scored, at, 1) == -np.inf, np.take_along_axis(place, at, 1)
