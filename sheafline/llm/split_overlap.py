@@ -32,16 +32,15 @@ PAGE = ("stream_id", "original_position")
 TRAIN, EVALUATION = "train", ("validation", "test")
 #: A cut falls after one word in CUT_ONE_IN, not before MIN_WORDS of the chunk.
 CUT_ONE_IN, MIN_WORDS = 5, 2
-#: Share of either page's words that shared chunks must reach for a pair to be looked at. Near
-#: copies with half of their three-word sets in common mostly share far more; the share is low to miss few of them.
+#: Share of either page's words that shared chunks must reach for a pair to be looked at by its chunks.
 LEAST = 0.2
-#: A chunk is hot when its pages make more than so many pairs across splits. A page of which hot
-#: chunks hold less than the share HEAVY is joined by its other chunks only, pages with more by hot
-#: chunks too. Pairs that this passes over are found by their three-word hashes.
-HOT, HEAVY = 2_500, 0.5
-#: Three-word hashes are ordered by counts in so many buckets, and counts are merged in slices of so
-#: many. Any order gives the same pairs; a bucket not filled on both sides holds no common hash.
-BUCKETS, SLICE = 1 << 22, 1 << 16
+#: Chunks whose pages make more than so many pairs across splits are not joined. Pairs that this
+#: or LEAST passes over are found by their three-word hashes, so both only order the work.
+HOT = 2_500
+#: Three-word hashes are ordered by counts in so many buckets; a bitmap of so many places for each
+#: side tells those that the other side cannot have. Both are merged in slices of so many bytes and
+#: are of one size whatever the input: full ones cost work, not pairs.
+BUCKETS, PLACES, SLICE = 1 << 22, 1 << 27, 1 << 18
 #: Pages of fewer words take no part.
 LEAST_WORDS = 20
 
@@ -79,35 +78,83 @@ def chunk_digests(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return ((digest << np.uint64(8)) | np.minimum(count, 255).astype(np.uint64)).view(np.int64), page[begins]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``train, text`` to one row for each distinct page text: ``page, train, words, digests``."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        seen, train, ids, flat, lengths = set(), [], [], [], []
-        for side, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = _WORD.findall(text.lower())
-            if len(found) < LEAST_WORDS:
-                continue
-            page = xxhash.xxh3_64_intdigest(" ".join(found))
-            if (page, side) in seen:
-                continue
-            seen.add((page, side))
-            for w in found:
-                if w not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-                flat.append(known[w])
-            train.append(side)
-            ids.append(page)
-            lengths.append(len(found))
-        counts = np.array(lengths, np.int64)
-        digest, page = chunk_digests(np.array(flat, np.uint64), counts)
-        bounds = np.searchsorted(page, np.arange(len(ids) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(train, pa.bool_()), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(digest))],
-            names=["page", "train", "words", "digests"],
-        )
+_FIRST = "page long, words int, digests array<long>, of boolean, slice int, packed binary"
+
+
+def _cut(keys: int):
+    """``train, text`` and ``keys`` more columns to these, the hash of the words, and once for each
+    text of a batch its chunks; at the end the counts and places of all three-word hashes, in packed slices.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        counts, places = np.zeros((2, BUCKETS), np.uint32), np.zeros((2, PLACES // 8), np.uint8)
+        kinds = None
+        for batch in batches:
+            kinds = kinds or [(f.name, f.type) for f in list(batch.schema)[2:]]
+            of, side, ids, sizes, flat = _words(batch, known)
+            digest, page = chunk_digests(flat, sizes)
+            bounds = np.searchsorted(page, np.arange(len(ids) + 1))
+            rows, first = np.unique(of, return_index=True)
+            lengths = np.zeros(batch.num_rows, np.int64)
+            at = np.where(of >= 0, of, 0)
+            # the first row of a text takes its chunks, the others none
+            own = np.zeros(batch.num_rows, bool)
+            own[first[rows >= 0]] = True
+            lengths[own] = np.diff(bounds)[at[own]]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(digest[_spans(bounds[at[own]], lengths[own])]))
+            empty = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:], pa.array(ids[at] if len(ids) else at, pa.int64(), mask=of < 0), pa.array((sizes[at] if len(ids) else at).astype(np.int32), mask=~own), lists, empty.cast(pa.bool_()), empty.cast(pa.int32()), empty.cast(pa.binary())],
+                names=["train", *[n for n, _ in kinds], *[c.split(" ")[0] for c in _FIRST.split(", ")]],
+            )
+            sizes, h = _triples(sizes, flat)
+            for t in (0, 1):
+                mine = h[np.repeat(side, sizes) == t]
+                counts[t] += np.bincount(_bucket(mine), minlength=BUCKETS).astype(np.uint32)
+                np.bitwise_or.at(places[t], _place(mine) >> 3, np.uint8(1) << (_place(mine) & 7).astype(np.uint8))
+        if kinds is None:
+            return
+        # counts come first in the numbering of slices, then places
+        whole = [np.concatenate([counts[t].view(np.uint8), places[t]]) for t in (0, 1)]
+        rows = [(bool(t), i // SLICE, zlib.compress(whole[t][i : i + SLICE].tobytes(), 1)) for t in (0, 1) for i in range(0, len(whole[t]), SLICE) if whole[t][i : i + SLICE].any()]
+        n = len(rows)
+        columns = [pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for _, t in kinds], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.binary()))]]
+        yield pa.RecordBatch.from_arrays(columns, names=["train", *[n for n, _ in kinds], *[c.split(" ")[0] for c in _FIRST.split(", ")]])
+
+    return run
+
+
+def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of spans, one after the other."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _words(batch: pa.RecordBatch, known: dict[str, int]):
+    """``of, side, pages, sizes, hashes``: the distinct texts of a batch of ``train, text``, the hashes of
+    their words one text after the other, and the text of each row (-1 where it takes no part)."""
+    seen: dict[tuple, int] = {}
+    of, side, ids, flat, lengths = [], [], [], [], []
+    for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found = _WORD.findall(text.lower()) if text else ()
+        if len(found) < LEAST_WORDS:
+            of.append(-1)
+            continue
+        page = xxhash.xxh3_64_intdigest(" ".join(found))
+        place = seen.setdefault((page, train), len(ids))
+        of.append(place)
+        if place < len(ids):
+            continue
+        for w in found:
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            flat.append(known[w])
+        side.append(train)
+        ids.append(page)
+        lengths.append(len(found))
+    return np.array(of, np.int64), np.array(side, bool), np.array(ids, np.uint64).view(np.int64), np.array(lengths, np.int64), np.array(flat, np.uint64)
 
 
 def with_split(pages: DataFrame, splits: DataFrame) -> DataFrame:
@@ -119,13 +166,6 @@ def with_split(pages: DataFrame, splits: DataFrame) -> DataFrame:
 _LENGTH = lambda c: c.bitwiseAND(F.lit(255)).cast("int")
 
 
-def page_chunks(placed: DataFrame) -> DataFrame:
-    """Stored ``page, train, words, digests`` of the distinct texts of each batch of pages."""
-    cut = stored(placed.where("text is not null").select("train", "text").mapInArrow(_cut, "page long, train boolean, words int, digests array<long>"))
-    # digests count once in a page; copies of a page within a batch are already one row
-    return cut.withColumn("digests", F.array_distinct("digests")).withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
-
-
 def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     """``page_a, page_b, shared, share_a, share_b``: distinct texts of the training (a) and the
     evaluation splits (b), named by the 64-bit hash of their words, with the words in shared chunks.
@@ -139,90 +179,67 @@ def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     packed = common.groupBy("page", "train").agg(F.max("words").alias("words"), F.sort_array(F.collect_set(F.struct("often", "chunk"))).alias("chunks"))
     ahead = F.transform("chunks", lambda c, i: F.aggregate(F.slice("chunks", F.lit(1), i), F.lit(0), lambda t, x: t + length(x["chunk"])))
     total = F.aggregate("chunks", F.lit(0), lambda t, c: t + length(c["chunk"]))
-    hot = F.aggregate(F.filter("chunks", lambda c: c["often"] > HOT), F.lit(0), lambda t, c: t + length(c["chunk"]))
-    packed = packed.withColumn("total", total).where(F.col("total") >= least * F.col("words"))
-    packed = packed.withColumn("ahead", ahead).withColumn("heavy", hot >= HEAVY * F.col("words"))
+    packed = packed.withColumn("total", total).where(F.col("total") >= least * F.col("words")).withColumn("ahead", ahead)
     # words of this chunk and of all more common ones: where they fall under the least share, the prefix ends
-    within = lambda c, i: (F.col("total") - F.get(F.col("ahead"), i) >= least * F.col("words")) & (F.col("heavy") | (c["often"] <= HOT))
-    packed = packed.select("page", "train", "words", F.filter("chunks", within)["chunk"].alias("prefix"), F.col("chunks.chunk").alias("chunks"))
-    packed = stored(packed)
-    a = packed.where("train").select(F.col("page").alias("page_a"), F.col("words").alias("words_a"), F.col("chunks").alias("chunks_a"), F.explode("prefix").alias("chunk"))
-    b = packed.where("not train").select(F.col("page").alias("page_b"), F.col("words").alias("words_b"), F.col("chunks").alias("chunks_b"), F.explode("prefix").alias("chunk"))
-    pairs = a.join(b, "chunk")
+    within = lambda c, i: (F.col("total") - F.get(F.col("ahead"), i) >= least * F.col("words")) & (c["often"] <= HOT)
+    packed = stored(packed.select("page", "train", "words", F.filter("chunks", within)["chunk"].alias("prefix"), F.col("chunks.chunk").alias("chunks")))
+    # pairs of pages first, their chunks after
+    side = lambda x, cond, *c: packed.where(cond).select(F.col("page").alias(f"page_{x}"), *c)
+    chunk = F.explode("prefix").alias("chunk")
+    pairs = stored(side("a", "train", chunk).join(side("b", "not train", chunk), "chunk").select("page_a", "page_b").distinct())
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("words", "chunks")]
+    pairs = pairs.join(side("a", "train", *of("a")), "page_a").join(side("b", "not train", *of("b")), "page_b")
     shared = F.aggregate(F.array_intersect("chunks_a", "chunks_b"), F.lit(0), lambda t, c: t + length(c))
     pairs = pairs.select("page_a", "page_b", "words_a", "words_b", shared.alias("shared"))
-    pairs = pairs.where((F.col("shared") >= least * F.col("words_a")) & (F.col("shared") >= least * F.col("words_b"))).distinct()
+    pairs = pairs.where((F.col("shared") >= least * F.col("words_a")) & (F.col("shared") >= least * F.col("words_b")))
     return pairs.select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b"))
 
 
-def _triples(batch: pa.RecordBatch, known: dict[str, int]):
-    """``side, pages, sizes, hashes`` of the distinct texts of a batch: the set of three-word hashes of each, one after the other."""
-    seen, side, ids, flat, lengths = set(), [], [], [], []
-    for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        found = _WORD.findall(text.lower())
-        if len(found) < LEAST_WORDS:
-            continue
-        page = xxhash.xxh3_64_intdigest(" ".join(found))
-        if (page, train) in seen:
-            continue
-        seen.add((page, train))
-        for w in found:
-            if w not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            flat.append(known[w])
-        side.append(train)
-        ids.append(page)
-        lengths.append(len(found))
-    w, n = np.array(flat, np.uint64), np.array(lengths, np.int64)
-    if not len(n):
-        return np.zeros(0, bool), np.zeros(0, np.int64), n, w
+def _triples(sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sizes, hashes``: the set of three-word hashes of each text, given as word hashes, one after the other."""
+    if len(w) < 3:
+        return np.zeros(len(sizes), np.int64), w[:0]
     h = w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1] * np.uint64(0xD6E8FEB86659FD93) + w[2:] * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    page = np.repeat(np.arange(len(n)), n)
+    page = np.repeat(np.arange(len(sizes)), sizes)
     whole = page[:-2] == page[2:]
     h, page = h[whole], page[:-2][whole]
     order = np.lexsort((h, page))
     h, page = h[order], page[order]
     first = np.r_[True, (h[1:] != h[:-1]) | (page[1:] != page[:-1])]
-    return np.array(side, bool), np.array(ids, np.uint64).view(np.int64), np.bincount(page[first], minlength=len(n)), h[first]
+    return np.bincount(page[first], minlength=len(sizes)), h[first]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of three-word hashes by side and bucket, in packed slices."""
-    known: dict[str, int] = {}
-    counts = np.zeros((2, BUCKETS), np.uint32)
-    for batch in batches:
-        side, _, sizes, h = _triples(batch, known)
-        of = np.repeat(side, sizes)
-        for t in (0, 1):
-            counts[t] += np.bincount(_bucket(h[of == t]), minlength=BUCKETS).astype(np.uint32)
-    rows = [(t, i // SLICE, zlib.compress(counts[t, i : i + SLICE].tobytes(), 1)) for t in (0, 1) for i in range(0, BUCKETS, SLICE) if counts[t, i : i + SLICE].any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["side", "slice", "counts"])
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(PLACES - 1)).astype(np.int64)
 
 
 def _merged(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows.column("counts").to_pylist())
-    return pa.table({"side": rows.column("side")[:1], "slice": rows.column("slice")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    counted = rows.column("slice")[0].as_py() < 4 * BUCKETS // SLICE
+    parts = [np.frombuffer(zlib.decompress(x), np.uint32 if counted else np.uint8) for x in rows.column("packed").to_pylist()]
+    whole = np.add.reduce(parts, dtype=np.uint32) if counted else np.bitwise_or.reduce(parts)
+    return pa.table({"of": rows.column("of")[:1], "slice": rows.column("slice")[:1], "packed": pa.array([zlib.compress(whole.tobytes(), 1)], pa.binary())})
 
 
 def _prefixes(held, least_jaccard: float):
     """``page, train, size, at, hashes``: the hashes of a page that can be the first one it shares with a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = held.value, {}
+        (often, places), known = held.value, {}
         for batch in batches:
-            side, ids, sizes, h = _triples(batch, known)
+            _, side, ids, sizes, flat = _words(batch, known)
+            sizes, h = _triples(sizes, flat)
             page = np.repeat(np.arange(len(sizes)), sizes)
-            n = often[_bucket(h)]
+            # hashes that stand on one side only come first: no partner has them
+            at = _place(h)
+            n = np.where((places[at >> 3] >> (at & 7).astype(np.uint8)) & 1, often[_bucket(h)], 0)
             order = np.lexsort((h, n, page))
             h, n = h[order], n[order]
-            at = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(sizes)][:-1], sizes)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # a partner is not smaller than the wanted share, so this many hashes must be left from the first common one on
             keep = (n > 0) & (np.repeat(sizes, sizes) - at >= least_jaccard * np.repeat(sizes, sizes) - 1e-9)
             bounds = pa.array(np.r_[0, np.cumsum(np.bincount(page[keep], minlength=len(sizes)))].astype(np.int32))
@@ -232,16 +249,16 @@ def _prefixes(held, least_jaccard: float):
     return run
 
 
-def triple_pairs(placed: DataFrame, least_jaccard: float) -> DataFrame:
-    """``page_a, page_b``: all distinct texts of the training (a) and the evaluation splits (b) whose
-    three-word sets can have ``least_jaccard`` of their union in common; no such pair is left out.
+def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> DataFrame:
+    """``page_a, page_b``: all distinct texts of the training (a) and the evaluation splits (b) of
+    ``texts(train, text)`` whose three-word sets can have ``least_jaccard`` of their union in
+    common; no such pair is left out. ``tally`` has the packed counts and places of their hashes.
     """
-    spark = placed.sparkSession
-    texts = placed.where("text is not null").select("train", "text")
-    counts = np.zeros((2, BUCKETS))
-    for side, at, packed in texts.mapInArrow(_tally, "side int, slice int, counts binary").groupBy("side", "slice").applyInArrow(_merged, "side int, slice int, counts binary").collect():
-        counts[side, at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint64)
-    held = spark.sparkContext.broadcast((counts[0] * counts[1]).astype(np.float32))
+    whole = np.zeros((2, 4 * BUCKETS + PLACES // 8), np.uint8)
+    for side, at, packed in tally.groupBy("of", "slice").applyInArrow(_merged, "of boolean, slice int, packed binary").collect():
+        whole[int(side), at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    counts = whole[:, : 4 * BUCKETS].copy().view(np.uint32).astype(np.float32)
+    held = texts.sparkSession.sparkContext.broadcast((counts[0] * counts[1], whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
     packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, at array<int>, hashes array<long>").where(F.size("hashes") > 0)
     packed = stored(packed.dropDuplicates(["page", "train"]))
     rows = packed.select("page", "train", "size", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("page", "train", "size", (F.col("size") - F.col("x.at")).alias("left"), F.col("x.hashes").alias("hash"))
@@ -269,20 +286,26 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     an empty result. Only the named columns are read.
     """
     pages = pages.select(*PAGE, "source", F.col("text").cast("string").alias("text"))
-    placed = with_split(pages, splits)
-    cut = page_chunks(placed)
+    placed = with_split(pages, splits).where("text is not null")
+    keys = placed.select("train", "text", *PAGE, "split", source_key("source").alias("source"))
+    schema = "train boolean, " + ", ".join(f"{n} {t}" for n, t in keys.dtypes[2:]) + ", " + _FIRST
+    first = stored(keys.mapInArrow(_cut(len(keys.columns) - 2), schema))
+    cut = first.where("words is not null").select("page", "train", "words", F.array_distinct("digests").alias("digests"))
+    # digests count once in a page
+    cut = cut.withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
     near = stored(chunk_pairs(cut, least))
-    rest = triple_pairs(placed, least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
+    rest = triple_pairs(placed.select("train", "text"), first.where("slice is not null").select("of", "slice", "packed"), least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
     pairs = stored(near.select("page_a", "page_b").unionByName(rest))
     n = pairs.count()
-    keyed = placed.where("text is not null").select("text", *PAGE, "split", source_key("source").alias("source"))
-    types = dict(keyed.dtypes)
-    keyed = keyed.mapInArrow(_hashed_pages, ", ".join(f"{c} {types[c]}" for c in (*PAGE, "split", "source", "text")) + ", page long").where("page is not null")
     wanted = pairs.select(F.explode(F.array("page_a", "page_b")).alias("page")).distinct()
-    members = stored(keyed.join(small_or_shuffled(wanted, n), "page", "left_semi"))
+    members = stored(first.where("page is not null").select("page", *PAGE, "split", "source").distinct().join(small_or_shuffled(stored(wanted)), "page", "left_semi"))
+    # one place of each text, read again
+    places = stored(members.groupBy("page").agg(F.min(F.struct(*PAGE)).alias("at")).select(*[F.col(f"at.{c}").alias(f"at_{c}") for c in PAGE]))
+    same = [pages[c].eqNullSafe(places[f"at_{c}"]) for c in PAGE]
+    texts = pages.join(small_or_shuffled(places), same, "left_semi").where("text is not null").select("text").mapInArrow(_hashed_pages, "text string, page long").where("page is not null")
     w = words("text")
     triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))
-    sets = stored(members.groupBy("page").agg(F.min("text").alias("text")).withColumn("w", w).select("page", triples.alias("s")))
+    sets = stored(texts.groupBy("page").agg(F.min("text").alias("text")).withColumn("w", w).select("page", triples.alias("s")))
     checked = pairs.join(sets.select(F.col("page").alias("page_a"), F.col("s").alias("s_a")), "page_a").join(sets.select(F.col("page").alias("page_b"), F.col("s").alias("s_b")), "page_b")
     both = F.size(F.array_intersect("s_a", "s_b"))
     jaccard = both / (F.size("s_a") + F.size("s_b") - both)
@@ -295,7 +318,7 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     shared = F.aggregate(F.array_intersect("digests_a", "digests_b"), F.lit(0), lambda t, c: t + _LENGTH(c))
     checked = checked.withColumn("shared", shared).select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b"), "jaccard")
     checked = stored(checked)
-    of = members.select("page", *PAGE, "split", "source").distinct()
+    of = members
     side = lambda x, cond: of.where(cond).select(*[F.col(c).alias(f"{c}_{x}") for c in of.columns])
     return small_or_shuffled(checked, n).join(side("a", f"split = '{TRAIN}'"), "page_a").join(side("b", f"split <> '{TRAIN}'"), "page_b")
 
