@@ -32,6 +32,8 @@ CONFUSIONS = (
 FREQUENT, RATIO = 8, 5
 #: A reading with a sign or digit inside needs only so many occurrences of the word.
 FREQUENT_FOR_SIGNS = 3
+#: Anagram hashes are sums modulo this prime.
+PRIME = (1 << 31) - 1
 #: The most frequent words, held in memory to pass over them quickly; all others are looked up by a join.
 COMMON_WORDS = 200_000
 #: Lines at each page edge that may be furniture, and pages of the packet a running line must be on.
@@ -85,13 +87,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def anagram_hash(word: Column) -> Column:
-    """Sum of the fifth powers of the character codes."""
-    code = lambda c: F.ascii(c).cast("long")
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda t, c: t + code(c) * code(c) * code(c) * code(c) * code(c))
+    """Sum of the fifth powers of the character codes, modulo PRIME at each step, so that no script and no length overflows."""
+
+    def fifth(c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        square = code * code % PRIME
+        return square * square % PRIME * code % PRIME
+
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda t, c: (t + fifth(c)) % PRIME)
 
 
 def _fifth(text: str) -> int:
-    return sum(ord(c) ** 5 for c in text)
+    return sum(pow(ord(c), 5, PRIME) for c in text) % PRIME
 
 
 def reads_as(seen: str, true: str, steps: list[tuple[str, str]]) -> bool:
@@ -124,13 +131,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def corrections(counts: DataFrame) -> DataFrame:
     """Stored ``word, correct``: rare words and the frequent word they most likely are."""
     plain = F.col("word").rlike(r"^\p{L}+$")
-    rare = counts.where((F.length("word").between(3, 40) | ((F.length("word") == 2) & ~plain)) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(_CODE.pattern) & ~F.col("word").contains("-"))
+    rare = counts.where(((F.length("word") >= 3) | ((F.length("word") == 2) & ~plain)) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(_CODE.pattern) & ~F.col("word").contains("-"))
     frequent = stored(counts.where(plain & (F.length("word") >= 2) & (F.col("n") >= FREQUENT_FOR_SIGNS)).select(F.col("word").alias("correct"), F.col("n").alias("m"), anagram_hash(F.col("word")).alias("hash")))
     shifts = F.array(*[F.when(F.contains("word", F.lit(a)), F.struct(F.lit(i).alias("i"), F.lit(_fifth(b) - _fifth(a)).cast("long").alias("shift"))) for i, (a, b) in enumerate(CONFUSIONS)])
     possible = rare.withColumn("s", F.array_compact(shifts)).where(F.size("s") > 0).withColumn("hash", anagram_hash(F.col("word")))
     none = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("shift")))
     steps = possible.select("word", "n", "hash", "s", F.explode("s").alias("a")).select("word", "n", "hash", "a", F.explode(F.concat(none, "s")).alias("b")).where("b.i < 0 or b.i >= a.i")
-    tried = steps.select("word", "n", F.array("a.i", "b.i").alias("steps"), (F.col("hash") + F.col("a.shift") + F.col("b.shift")).alias("hash"), (F.col("b.i") >= 0).cast("int").alias("errors"))
+    tried = steps.select("word", "n", F.array("a.i", "b.i").alias("steps"), F.pmod(F.col("hash") + F.col("a.shift") + F.col("b.shift"), F.lit(PRIME)).alias("hash"), (F.col("b.i") >= 0).cast("int").alias("errors"))
     near = tried.join(small_or_shuffled(frequent), "hash").where("word <> correct")
     signs = ~plain
     likely = near.where((signs & (F.col("m") > F.col("n"))) | ((F.col("m") >= FREQUENT) & (F.col("m") >= RATIO * F.col("n"))))
@@ -170,7 +177,7 @@ def skeleton(line: Column) -> Column:
     s = F.regexp_replace(F.lower(strip(F.regexp_replace(line, r"(?U)\s+", " "))), r"(?<![\p{L}\p{Nd}])\p{Nd}+(?![\p{L}\p{Nd}])", "#")
     for a, b in (("ii", "u"), ("ri", "n"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("ti", "d")):
         s = F.replace(s, F.lit(a), F.lit(b))
-    return F.translate(s, "c@+!i10569hv", "eatllloshgby".replace("h", "b", 1))
+    return F.translate(s, "c@+!i10569hv", "eatlllosbgby")
 
 
 #: Ways to print a page number.

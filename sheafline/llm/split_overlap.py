@@ -261,12 +261,46 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
     held = texts.sparkSession.sparkContext.broadcast((counts[0] * counts[1], whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
     packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, at array<int>, hashes array<long>").where(F.size("hashes") > 0)
     packed = stored(packed.dropDuplicates(["page", "train"]))
-    rows = packed.select("page", "train", "size", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("page", "train", "size", (F.col("size") - F.col("x.at")).alias("left"), F.col("x.hashes").alias("hash"))
+    # a train page sends only what the evaluation pages send too
+    asked = np.zeros(PLACES // 8, np.uint8)
+    marks = packed.where("not train").select("hashes").mapInArrow(_marks, "of boolean, slice int, packed binary")
+    for _, at, part in marks.groupBy("of", "slice").applyInArrow(_merged, "of boolean, slice int, packed binary").collect():
+        at -= 4 * BUCKETS // SLICE
+        asked[at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(part), np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(asked)
+    rows = packed.mapInArrow(_exploded(held), "page long, train boolean, size int, left int, hash long")
     side = lambda x, cond: rows.where(cond).select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("page", "size", "left")])
     enough = F.least("left_a", "left_b") * (1 + least_jaccard) >= least_jaccard * (F.col("size_a") + F.col("size_b")) - 1e-6
     return side("a", "train").join(side("b", "not train"), "hash").where(enough).select("page_a", "page_b").distinct()
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of all hashes, in packed slices."""
+    places = np.zeros(PLACES // 8, np.uint8)
+    for batch in batches:
+        at = _place(batch.column(0).flatten().to_numpy().view(np.uint64))
+        np.bitwise_or.at(places, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    rows = [(False, (4 * BUCKETS + i) // SLICE, zlib.compress(places[i : i + SLICE].tobytes(), 1)) for i in range(0, len(places), SLICE) if places[i : i + SLICE].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.binary()))], names=["of", "slice", "packed"])
+
+
+def _exploded(held):
+    """A row for each hash of a page; those of train pages that no evaluation page sends are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        for batch in batches:
+            page, train, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            of = np.repeat(np.arange(len(page)), np.diff(batch.column(4).offsets.to_numpy()))
+            at, h = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            place = _place(h.view(np.uint64))
+            keep = ~train[of].astype(bool) | ((asked[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            of, at, h = of[keep], at[keep], h[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(page[of]), pa.array(train[of].astype(bool)), pa.array(size[of]), pa.array((size[of] - at).astype(np.int32)), pa.array(h)], names=["page", "train", "size", "left", "hash"])
+
+    return run
+
+
 def _hashed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
