@@ -241,3 +241,26 @@ def test_unmarked_scans_become_paragraphs(spark, scans, monkeypatch):
 
 def test_no_scans(scans):
     assert S.scan_noise(scans[0].limit(0), scans[1].limit(0)).count() == 0
+
+
+def test_inserted_swapped_and_changed_words_are_passed_over(spark):
+    words = [f"w{i}" for i in range(400)]
+    item = random.Random(1).sample(words, 20)
+    inserted = [x for i, w in enumerate(item) for x in ([w, "new"] if i == 9 else [w])]
+    swapped = [*item[:4], item[5], item[4], *item[6:14], item[15], item[14], *item[16:]]
+    changed = ["other" if i % 6 == 2 else w for i, w in enumerate(item)]
+    noise = lambda seed: random.Random(seed).sample(words, 60)
+    docs = [(i, " ".join(noise(i) + x + noise(50 + i))) for i, x in enumerate((item, inserted, swapped, changed, ["other" if i % 2 else w for i, w in enumerate(item)], item[:9]))] + [(9, None)]
+    d, i = spark.createDataFrame(docs + docs[:2], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, "short"), (3, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.share, 2) for r in V.near_leaks(clash(d), clash(i)).collect()}
+    assert set(got) >= {(k, 1) for k in range(4)} and not set(got) & {(4, 1), (9, 1)} and {k for _, k in got} == {1}
+    assert got[0, 1] == got[1, 1] == got[2, 1] == 1.0 and got[3, 1] >= 0.7
+    assert {(r.doc_id, r.item_id) for r in V.leaks(d, i).collect()} == {(0, 1), (1, 1)}
+
+
+def test_words_of_any_script_and_length_have_an_anagram_hash(spark):
+    counts = [("漢字", 5), ("日本語", 9), ("한국어", 12), ("𐍈𝄞x", 10), ("under", 40), ("iinder", 1), ("a" * 50 + "rn", 1), ("a" * 50 + "m", 40)]
+    fixed = {r.word: r.correct for r in S.corrections(spark.createDataFrame(counts, "word string, n long")).collect()}
+    assert fixed == {"iinder": "under", "a" * 50 + "rn": "a" * 50 + "m"}
+    rows = spark.createDataFrame(counts, "word string, n long").select("word", S.anagram_hash(F.col("word")).alias("h")).collect()
+    assert all(r.h == S._fifth(r.word) for r in rows)
