@@ -40,7 +40,7 @@ HOT = 2_500
 #: Three-word hashes are ordered by counts in so many buckets; a bitmap of so many places for each
 #: side tells those that the other side cannot have. Both are merged in slices of so many bytes and
 #: are of one size whatever the input: full ones cost work, not pairs.
-BUCKETS, PLACES, SLICE = 1 << 22, 1 << 27, 1 << 18
+BUCKETS, PLACES, SLICE = 1 << 22, 1 << 26, 1 << 18
 #: Pages of fewer words take no part.
 LEAST_WORDS = 20
 
@@ -226,7 +226,7 @@ def _merged(rows: pa.Table) -> pa.Table:
 
 
 def _prefixes(held, least_jaccard: float):
-    """``page, train, size, at, hashes``: the hashes of a page that can be the first one it shares with a partner."""
+    """``page, train, size, begin, hashes``: the hashes of a page that can be the first one it shares with a partner, the first of them at place ``begin``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (often, places), known = held.value, {}
@@ -242,9 +242,10 @@ def _prefixes(held, least_jaccard: float):
             at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # a partner is not smaller than the wanted share, so this many hashes must be left from the first common one on
             keep = (n > 0) & (np.repeat(sizes, sizes) - at >= least_jaccard * np.repeat(sizes, sizes) - 1e-9)
-            bounds = pa.array(np.r_[0, np.cumsum(np.bincount(page[keep], minlength=len(sizes)))].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(v[keep])) for v in (at.astype(np.int32), h.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(sizes.astype(np.int32)), *lists], names=["page", "train", "size", "at", "hashes"])
+            held_by = np.bincount(page[keep], minlength=len(sizes))
+            begin = np.bincount(page[n == 0], minlength=len(sizes))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held_by)].astype(np.int32)), pa.array(h[keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(sizes.astype(np.int32)), pa.array(begin.astype(np.int32)), lists], names=["page", "train", "size", "begin", "hashes"])
 
     return run
 
@@ -258,8 +259,10 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
     for side, at, packed in tally.groupBy("of", "slice").applyInArrow(_merged, "of boolean, slice int, packed binary").collect():
         whole[int(side), at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint8)
     counts = whole[:, : 4 * BUCKETS].copy().view(np.uint32).astype(np.float32)
-    held = texts.sparkSession.sparkContext.broadcast((counts[0] * counts[1], whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
-    packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, at array<int>, hashes array<long>").where(F.size("hashes") > 0)
+    # quarters of a doubling are fine enough for an order
+    often = np.minimum(1 + 4 * np.log2(1 + counts[0] * counts[1]), 255).astype(np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast((often, whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
+    packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, begin int, hashes array<long>").where(F.size("hashes") > 0)
     packed = stored(packed.dropDuplicates(["page", "train"]))
     # a train page sends only what the evaluation pages send too
     asked = np.zeros(PLACES // 8, np.uint8)
@@ -290,9 +293,11 @@ def _exploded(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held.value
         for batch in batches:
-            page, train, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            of = np.repeat(np.arange(len(page)), np.diff(batch.column(4).offsets.to_numpy()))
-            at, h = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            page, train, size, begin = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            number = np.diff(batch.column(4).offsets.to_numpy())
+            of = np.repeat(np.arange(len(page)), number)
+            h = batch.column(4).flatten().to_numpy()
+            at = begin[of] + np.arange(len(h)) - np.repeat(np.cumsum(number) - number, number)
             place = _place(h.view(np.uint64))
             keep = ~train[of].astype(bool) | ((asked[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
             of, at, h = of[keep], at[keep], h[keep]

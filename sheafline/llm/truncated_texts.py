@@ -28,9 +28,7 @@ SAMPLE_ROWS = 20_000
 LIMIT_SHARE, LIMIT_COUNT = 0.01, 5
 FEATURES = 1 << 14
 #: Texts shorter than this are not cut for training.
-LEAST_CUT = 120
-#: Shorter texts show too little of an ending: they count as short texts do, mostly whole.
-SHORT = 36
+LEAST_CUT = 40
 #: Signs of omission that positives get at their ends.
 OMISSIONS = ("", "", "", "…", "...", " [...]")
 
@@ -62,8 +60,6 @@ def ending(text: str, at_limit: bool) -> list[str]:
     tail = text[-400:].rstrip()
     if not tail:
         return ["blank"]
-    if len(text) < SHORT:
-        return ["short", f"short={tail[-1]}"]
     omitted = _OMITTED.search(tail)
     body = tail[: omitted.start()].rstrip() if omitted else tail
     lines = [x for x in body.split("\n") if x.strip()]
@@ -95,6 +91,9 @@ def ending(text: str, at_limit: bool) -> list[str]:
         f"limit={at_limit}",
         f"limit+kind={at_limit}|{kind}",
     ]
+    pieces = len(text.split()) if len(text) < 60 else 6
+    if pieces < 6:
+        f += [f"few={pieces}", f"few={pieces}|{kind}"]
     return f + (["cut off"] if text.endswith(" ") and kind in "l9u," else []) + (["broken"] if "�" in tail[-3:] else [])
 
 
@@ -119,7 +118,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """``text, at_limit, label``: intact texts, and the same texts cut at a random place."""
     intact = docs.where("not at_limit").where(~strip("text").rlike(r"(…|\.\.\.|\[\.\.\.\])$"))
     whole = intact.select("text", (_dice(1) < 0.15).alias("at_limit"), F.lit(0.0).alias("label"))
-    at = (F.length("text") * (0.3 + 0.65 * _dice(2))).cast("int")
+    # most cuts leave a long text, one in four leaves a short one
+    far = F.when(_dice(6) < 0.25, 20 + (F.least(F.length("text"), F.lit(240)) - 20) * 0.95 * _dice(2)).otherwise(F.length("text") * (0.3 + 0.65 * _dice(2)))
+    at = F.least(far, F.length("text") - 3).cast("int")
     sign = F.element_at(F.array(*[F.lit(x) for x in OMISSIONS]), (_dice(3) * len(OMISSIONS)).cast("int") + 1)
     cut = intact.where(F.length("text") >= LEAST_CUT).select(F.concat(F.substring("text", F.lit(1), at), sign).alias("text"), (_dice(4) < 0.5).alias("at_limit"), F.lit(1.0).alias("label"))
     return whole.unionByName(cut)

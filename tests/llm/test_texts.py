@@ -264,3 +264,14 @@ def test_words_of_any_script_and_length_have_an_anagram_hash(spark):
     assert fixed == {"iinder": "under", "a" * 50 + "rn": "a" * 50 + "m"}
     rows = spark.createDataFrame(counts, "word string, n long").select("word", S.anagram_hash(F.col("word")).alias("h")).collect()
     assert all(r.h == S._fifth(r.word) for r in rows)
+
+
+def test_short_texts_can_be_cut(spark):
+    r = random.Random(8)
+    sentence = lambda n=9: " ".join(r.choice(WORDS) for _ in range(n)).capitalize() + "."
+    whole = [" ".join(sentence() for _ in range(r.randint(1, 6))) for _ in range(800)] + [sentence(r.randint(3, 5)) for _ in range(200)]
+    cut = ["The committee decided that the", "The harbour must be signed within", "Rented copper invoice days unl", "Within the kettle signed 2024 un"]
+    rows = [(i, t, "s") for i, t in enumerate(whole)] + [(5000 + i, t, "s") for i, t in enumerate(cut)]
+    got = {x.doc_id: x.truncated for x in T.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(20 <= len(t) <= 35 and got[5000 + i] for i, t in enumerate(cut))
+    assert sum(got[i] for i in range(len(whole))) <= 20
