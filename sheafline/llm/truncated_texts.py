@@ -29,6 +29,8 @@ LIMIT_SHARE, LIMIT_COUNT = 0.01, 5
 FEATURES = 1 << 14
 #: Texts shorter than this are not cut for training.
 LEAST_CUT = 40
+#: Texts of fewer words and characters hold no sentence that could be cut: they are whole.
+NO_SENTENCE_WORDS, NO_SENTENCE_LENGTH = 4, 20
 #: Signs of omission that positives get at their ends.
 OMISSIONS = ("", "", "", "…", "...", " [...]")
 
@@ -150,7 +152,7 @@ def fit(docs: DataFrame) -> PipelineModel:
 def truncated(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, source, score`` of every row, and whether it is ``truncated``.
 
-    Null texts and blank texts are not truncated (score null and 0). A null source has its own
+    Null texts are not truncated (score null), nor are blank ones and a few words alone (0). A null source has its own
     limits. Repeated rows count once. Texts of any length are measured whole, though only
     their ends make features. An empty table, or one without texts to cut, gives no truncated
     row. Only ``doc_id``, ``text`` and ``source`` are read.
@@ -165,7 +167,9 @@ def truncated(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return docs.select("doc_id", "source", F.lit(None).cast("double").alias("score"), F.lit(False).alias("truncated"))
     ends = known.withColumn("ends", _endings(F.coalesce("text", F.lit("")), "at_limit")).select("doc_id", "source", "text", "ends")
     scored = model.transform(ends).select("doc_id", "source", "text", vector_to_array("probability")[1].alias("p"))
-    score = F.when(F.col("text").isNull(), None).when(strip("text") == "", 0.0).otherwise(F.col("p"))
+    bare = strip("text")
+    no_sentence = (F.length(bare) < NO_SENTENCE_LENGTH) & (F.size(F.split(bare, r"(?U)\s+")) < NO_SENTENCE_WORDS)
+    score = F.when(F.col("text").isNull(), None).when(no_sentence, 0.0).otherwise(F.col("p"))
     return scored.select("doc_id", "source", score.alias("score")).withColumn("truncated", F.coalesce(F.col("score") > threshold, F.lit(False)))
 
 
