@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from sheafline.engine import Engine, Settings
-from sheafline.sources.files import write_documents
+from sheafline.sources.files import structured_documents, write_documents
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,9 +43,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.verb == "stage2":
         write_documents(engine.structure(spark.read.parquet(a.pages), spark.read.parquet(a.stage1)), a.output)
     elif a.verb == "index":
-        from sheafline.sources import schemas
-
-        engine.build_index(spark.read.schema(schemas.DOCUMENT).json(a.structured_dir), a.index)
+        engine.build_index(structured_documents(spark, a.structured_dir), a.index)
     else:
         rows = engine.query(a.index, spark.createDataFrame([("q", a.query)], "query_id string, query string"), a.document_type, a.top_k)
         rows.orderBy("rank").show(truncate=False)

@@ -86,8 +86,10 @@ def rule_score() -> Column:
 def decisions(features: DataFrame, method: str = "baseline", threshold: float = THRESHOLD) -> DataFrame:
     """``stream_id, page_a, page_b, score, is_boundary, method``; a score under the threshold is a boundary.
 
-    ``embedding`` scores by the first feature; any other name is the weighted rule.
+    ``embedding`` scores by the first feature, ``baseline`` by the weighted rule; other names are an error.
     """
+    if method not in ("baseline", "embedding"):
+        raise ValueError(f"unknown method {method!r}")
     alone = method == "embedding"
     score = F.round(F.col(FEATURES[0]) if alone else rule_score(), 9)
     return features.select("stream_id", "page_a", "page_b", score.alias("score"), (score < threshold).alias("is_boundary"), F.lit("baseline_embedding_only" if alone else "baseline_weighted").alias("method"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows beyond which a table of narrow rows is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes beyond which a table is joined by shuffle instead of broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +39,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def small_or_shuffled(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast when its counted rows are within ``limit``; otherwise
-    leave the join to shuffle (with AQE splitting skewed partitions)."""
-    n = table.count() if rows is None else rows
-    return F.broadcast(table) if n <= limit else table.hint("merge")
-
-
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a table that is read more than once; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """Mark a stored table for broadcast when its rows are within ``limit`` and the counted bytes of
+    its values within BROADCAST_BYTES; otherwise leave the join to shuffle (with AQE splitting
+    skewed partitions). A given number of ``rows`` bounds tables without long values only."""
+    wide = [c for c, kind in table.dtypes if kind in ("string", "binary")]
+    nested = [c for c, kind in table.dtypes if kind.startswith(("array", "map", "struct"))]
+    if rows is None or (rows <= limit and (wide or nested)):
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
+        size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in nested), size)
+        rows, held = table.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    else:
+        held = 0
+    return F.broadcast(table) if rows <= limit and held + 16 * rows * len(table.columns) <= BROADCAST_BYTES else table.hint("merge")

@@ -1,34 +1,34 @@
-"""Files in and out: structured documents as JSON, whole texts, PDF packets, index tables."""
+"""Files in and out: structured documents as JSON, whole texts, recognised pages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.functions.text import page_id, strip
+from sheafline.functions.text import strip
 from sheafline.sources import schemas
 
-#: A line of at least this font size is a heading.
-HEADING_SIZE = 14.0
 #: Pages with fewer characters need recognition.
 SHORT_TEXT = 50
 
 
-class PdfLoadError(RuntimeError):
-    """A packet file that is missing, unreadable or empty, in strict mode."""
+#: Names of files that Spark wrote, with a document a line, and of all others.
+_WRITTEN, _OTHERS = "part-*.json", "{[!p],p[!a],pa[!r],par[!t],part[!-]}*.json"
 
 
 def structured_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file for each document, read with the declared schema, ordered by file name."""
-    return spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(f"{folder}/*.json").withColumn("file", F.input_file_name()).orderBy("file").drop("file")
+    """Documents of all JSON files of a folder and its subfolders, with the declared schema.
+
+    Files named ``part-...`` hold a document a line, as ``write_documents`` leaves them; any other
+    file holds one document, pretty-printed or not, or a list of documents.
+    """
+    reader = lambda names: spark.read.schema(schemas.DOCUMENT).option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    return reader(_OTHERS).option("multiLine", True).json(folder).unionByName(reader(_WRITTEN).json(folder))
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:
-    """JSON lines in a folder for each document id; timestamps in ISO form."""
-    documents.withColumn("id", F.col("document_id")).write.mode("overwrite").partitionBy("id").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").json(folder)
+    """JSON lines, the id being in each row; timestamps in ISO form."""
+    documents.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").json(folder)
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -36,71 +36,6 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def _pdf_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import fitz  # an optional library; nothing stands in for it
-
-    names = ["packet_id", "page_number", "text", "blocks", "width", "height", "image_count", "warnings", "error"]
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            packet = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            try:
-                document = fitz.open(stream=bytes(content), filetype="pdf")
-                if document.needs_pass:
-                    document.authenticate("")
-                count = document.page_count
-            except Exception as error:
-                rows.append((packet, None, None, None, None, None, None, None, str(error)))
-                continue
-            if not count:
-                rows.append((packet, None, None, None, None, None, None, None, "no pages"))
-            for number in range(count):
-                try:
-                    page = document[number]
-                    blocks = _page_blocks(page)
-                    pictures = max(len(page.get_images()), sum(b["block_type"] == "image" for b in blocks))
-                    text = "\n".join(b["text"] for b in blocks if b["block_type"] == "text")
-                    rows.append((packet, number + 1, text, blocks, page.rect.width, page.rect.height, pictures, [] if text.strip() else ["empty_native_text"], None))
-                except Exception as error:
-                    rows.append((packet, number + 1, "", [], 0.0, 0.0, 0, [f"corrupted_page: {error}"], None))
-        yield pd.DataFrame(rows, columns=names)
-
-
-def _page_blocks(page) -> list[dict]:
-    """A block for each line that is not blank, and one for each picture."""
-    out = []
-    for block in page.get_text("dict")["blocks"]:
-        if block["type"] == 1:
-            text, size, box, kind = f"Figure {sum(b['block_type'] == 'image' for b in out) + 1}", 0.0, block["bbox"], "image"
-            out.append(dict(zip(("text", "x0", "y0", "x1", "y1", "block_type", "font_size", "is_heading"), (text, *map(float, box), kind, size, False))))
-        for line in block.get("lines", []):
-            text = "".join(s["text"] for s in line["spans"]).strip()
-            if text:
-                size = float(max(s["size"] for s in line["spans"]))
-                out.append(dict(zip(("text", "x0", "y0", "x1", "y1", "block_type", "font_size", "is_heading"), (text, *map(float, line["bbox"]), "text", size, size >= HEADING_SIZE))))
-    return out
-
-
-def pdf_packets(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Pages of PDF files, one task for each share of files. Needs the optional ``fitz`` library.
-
-    ``strict`` raises PdfLoadError when a file cannot be opened or has no pages; otherwise such
-    files are rows with ``error``.
-    """
-    try:
-        import fitz  # noqa: F401
-    except ImportError as error:
-        raise ImportError("reading PDF packets needs the PyMuPDF library") from error
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = f"packet_id string, page_number int, text string, blocks array<{schemas.BLOCK}>, width double, height double, image_count int, warnings array<string>, error string"
-    pages = files.mapInPandas(_pdf_pages, schema)
-    if strict:
-        bad = pages.where("error is not null").select("packet_id", "error").first()
-        if bad:
-            raise PdfLoadError(f"{bad['packet_id']}: {bad['error']}")
-    return pages.withColumn("page_id", page_id("packet_id", "page_number")).withColumn("text_length", F.length(strip("text"))).withColumn("block_count", F.size("blocks")).withColumn("extraction_method", F.lit("native"))
-
-
 def needs_ocr(pages: DataFrame, engine: str = "none") -> DataFrame:
     """Pages for recognition: short texts and pages with a warning; none without an engine."""
     if engine == "none":
