@@ -273,8 +273,11 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
     held = texts.sparkSession.sparkContext.broadcast(asked)
     rows = packed.mapInArrow(_exploded(held), "page long, train boolean, size int, left int, hash long")
     side = lambda x, cond: rows.where(cond).select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("page", "size", "left")])
-    enough = F.least("left_a", "left_b") * (1 + least_jaccard) >= least_jaccard * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return side("a", "train").join(side("b", "not train"), "hash").where(enough).select("page_a", "page_b").distinct()
+    # common hashes that are not in both prefixes lie beyond the one that ends first: at most as many as that page has left
+    common = side("a", "train").join(side("b", "not train"), "hash").groupBy("page_a", "page_b", "size_a", "size_b").agg(F.count("*").alias("common"), F.max(F.least("left_a", "left_b")).alias("left"))
+    wanted = (F.col("size_a") + F.col("size_b")) * (least_jaccard / (1 + least_jaccard)) - 1e-6
+    rest = lambda c: F.col(c) - F.floor(F.col(c) * (1 - least_jaccard) + 1e-9) - 1
+    return common.where((F.col("left") >= wanted) & (F.col("common") + F.greatest(rest("size_a"), rest("size_b"), F.lit(0)) >= wanted)).select("page_a", "page_b").distinct()
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
