@@ -101,3 +101,25 @@ def test_shares_come_near_and_a_hot_group_stays_whole(spark):
     hot = df.withColumn("source", F.when(F.pmod(F.hash("stream_id"), F.lit(3)) == 0, "hot").otherwise(F.col("source")))
     assert P.balanced_splits(hot).where("group_key = 'hot'").select("split_name").distinct().count() == 1
     assert P.balanced_splits(df.limit(0)).count() == 0
+
+
+def test_an_id_with_two_vectors_and_copies_on_both_sides(spark):
+    x = clustered(80, 4)
+    near = lambda v: (v + 0.05 * np.random.default_rng(9).normal(size=96)).tolist()
+    v1, v2 = x[0].tolist(), x[1].tolist()
+    rows = [(f"v{i:02d}", v.tolist()) for i, v in enumerate(x[2:])]
+    rows += [("a_rep", v1), ("x_two", v1), ("x_two", v2), ("z_near", near(x[1])), ("y_scaled", (2 * x[0]).tolist())]
+    pairs = {(r.id, r.other): r.cosine for r in V.neighbours(frame(spark, rows), 10, 0.85).collect()}
+    assert {("x_two", "z_near"), ("z_near", "x_two"), ("x_two", "a_rep"), ("a_rep", "x_two"), ("a_rep", "y_scaled")} <= set(pairs)
+    assert not {("a_rep", "z_near"), ("z_near", "a_rep"), ("x_two", "x_two")} & set(pairs)
+    assert pairs["a_rep", "x_two"] == 1.0 and pairs["x_two", "z_near"] > 0.99
+
+
+def test_exact_mode_and_split_tasks_equal_brute_force(spark, monkeypatch):
+    x = clustered(1500, 6)
+    rows = [(f"{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(V, "TASK_ROWS", 300)  # several groups, split on both sides
+    want = brute(x.astype(np.float32), 10, -1)
+    for exact in (True, False):
+        got = {(int(r.id), int(r.other)) for r in V.neighbours(frame(spark, rows), 10, exact=exact).collect()}
+        assert len(got & want) >= (0.9999 if exact else 0.98) * len(want) and len(got) == len(want)
