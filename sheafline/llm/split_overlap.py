@@ -14,7 +14,6 @@ leaves at least their common part behind it in both. An exact check on word sets
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import source_key, strip, words
-from sheafline.plans.storage import small_or_shuffled, stored
+from sheafline.plans.storage import drop_stored, small_or_shuffled, stored
 from sheafline.sources.tables import table
 
 PAGE = ("stream_id", "original_position")
@@ -41,10 +40,15 @@ HOT = 2_500
 #: side tells those that the other side cannot have. Both are merged in slices of so many bytes and
 #: are of one size whatever the input: full ones cost work, not pairs.
 BUCKETS, PLACES, SLICE = 1 << 22, 1 << 26, 1 << 18
+#: Bits of a three-word hash and of a page's sketch of them. Equal hashes of different words cost work, not pairs.
+HASH_BITS, BITS = 48, 512
 #: Pages of fewer words take no part.
 LEAST_WORDS = 20
 
-_WORD = re.compile("[a-z0-9]+")
+#: Texts are hashed in spans of about so many characters.
+SPAN = 1 << 20
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 
 
 def chunk_digests(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +91,11 @@ def _cut(keys: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         counts, places = np.zeros((2, BUCKETS), np.uint32), np.zeros((2, PLACES // 8), np.uint8)
         kinds = None
         for batch in batches:
             kinds = kinds or [(f.name, f.type) for f in list(batch.schema)[2:]]
-            of, side, ids, sizes, flat = _words(batch, known)
+            of, side, ids, sizes, flat = _words(batch)
             digest, page = chunk_digests(flat, sizes)
             bounds = np.searchsorted(page, np.arange(len(ids) + 1))
             rows, first = np.unique(of, return_index=True)
@@ -130,31 +133,69 @@ def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def _words(batch: pa.RecordBatch, known: dict[str, int]):
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``sizes, hashes``: the words of each text, one text after the other, as 64-bit hashes of their letters and digits.
+
+    A word's hash is the sum of its bytes times the powers of an odd number, taken from running sums over all bytes.
+    """
+    sizes, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    low = [t.lower() if t else "" for t in texts]
+    ends = np.cumsum([len(t) for t in low])
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SPAN, ends[-1] if len(ends) else 0, SPAN)) + 1, len(low)])
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        column = pa.array(low[begin:end], pa.large_string())
+        at = np.frombuffer(column.buffers()[1], np.int64)[: end - begin + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: at[-1]]
+        inside = _IS_WORD[data]
+        before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+        filled = np.diff(at) > 0
+        before[at[:-1][filled]] = False
+        after[at[1:][filled] - 1] = False
+        first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        up, down = _powers(len(data))
+        run = np.r_[np.uint64(0), np.cumsum(data * up)]
+        h = (run[last] - run[first]) * down[first]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append(h ^ (h >> np.uint64(29)))
+        sizes.append(np.diff(np.searchsorted(first, at)))
+    return np.concatenate(sizes), np.concatenate(out)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    if len(_held) == 0 or len(_held[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        _held[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, SPAN) - 1, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64))]
+    return _held[0][:n], _held[1][:n]
+
+
+_held: list[np.ndarray] = []
+
+
+def _page_id(words: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes())
+
+
+def _words(batch: pa.RecordBatch):
     """``of, side, pages, sizes, hashes``: the distinct texts of a batch of ``train, text``, the hashes of
     their words one text after the other, and the text of each row (-1 where it takes no part)."""
     seen: dict[tuple, int] = {}
-    of, side, ids, flat, lengths = [], [], [], [], []
-    for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        found = _WORD.findall(text.lower()) if text else ()
-        if len(found) < LEAST_WORDS:
+    of, side, ids, rows = [], [], [], []
+    lengths, flat = word_hashes(batch.column(1).to_pylist())
+    begins = np.cumsum(lengths) - lengths
+    for row, (train, begin, length) in enumerate(zip(batch.column(0).to_pylist(), begins.tolist(), lengths.tolist())):
+        if length < LEAST_WORDS:
             of.append(-1)
             continue
-        page = xxhash.xxh3_64_intdigest(" ".join(found))
+        page = _page_id(flat[begin : begin + length])
         place = seen.setdefault((page, train), len(ids))
         of.append(place)
-        if place < len(ids):
-            continue
-        for w in found:
-            if w not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            flat.append(known[w])
-        side.append(train)
-        ids.append(page)
-        lengths.append(len(found))
-    return np.array(of, np.int64), np.array(side, bool), np.array(ids, np.uint64).view(np.int64), np.array(lengths, np.int64), np.array(flat, np.uint64)
+        if place == len(ids):
+            side.append(train)
+            ids.append(page)
+            rows.append(row)
+    rows = np.array(rows, np.int64)
+    return np.array(of, np.int64), np.array(side, bool), np.array(ids, np.uint64).view(np.int64), lengths[rows], flat[_spans(begins[rows], lengths[rows])]
 
 
 def with_split(pages: DataFrame, splits: DataFrame) -> DataFrame:
@@ -166,6 +207,30 @@ def with_split(pages: DataFrame, splits: DataFrame) -> DataFrame:
 _LENGTH = lambda c: c.bitwiseAND(F.lit(255)).cast("int")
 
 
+def _chunk_prefixes(least: float):
+    """``prefix, chunks`` of each page: its chunks, and those of them that a partner must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(2).to_numpy()
+            n = np.diff(batch.column(4).offsets.to_numpy())
+            page = np.repeat(np.arange(len(n)), n)
+            often, chunk = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            order = np.lexsort((chunk, often, page))
+            often, chunk = often[order], chunk[order]
+            length = chunk & 255
+            run_ = np.cumsum(length)
+            whole = np.bincount(page, length, minlength=len(n))
+            # words of this chunk and of all more common ones: where they fall under the least share, the prefix ends
+            left = np.repeat(np.cumsum(whole), n) - run_ + length
+            enough = whole >= least * words
+            keep = (left >= least * words[page]) & (often <= HOT) & enough[page]
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), pa.array(c)) for k, c in ((np.bincount(page[keep], minlength=len(n)), chunk[keep]), (n, chunk))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["page", "train", "words", "prefix", "chunks"]).filter(pa.array(enough))
+
+    return run
+
+
 def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     """``page_a, page_b, shared, share_a, share_b``: distinct texts of the training (a) and the
     evaluation splits (b), named by the 64-bit hash of their words, with the words in shared chunks.
@@ -176,23 +241,21 @@ def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     counts = rows.groupBy("chunk").agg(F.sum(side).alias("a"), F.sum(1 - side).alias("b")).where("a > 0 and b > 0")
     counts = stored(counts.select("chunk", (F.col("a").cast("double") * F.col("b")).alias("often")))
     common = rows.join(small_or_shuffled(counts), "chunk")
-    packed = common.groupBy("page", "train").agg(F.max("words").alias("words"), F.sort_array(F.collect_set(F.struct("often", "chunk"))).alias("chunks"))
-    ahead = F.transform("chunks", lambda c, i: F.aggregate(F.slice("chunks", F.lit(1), i), F.lit(0), lambda t, x: t + length(x["chunk"])))
-    total = F.aggregate("chunks", F.lit(0), lambda t, c: t + length(c["chunk"]))
-    packed = packed.withColumn("total", total).where(F.col("total") >= least * F.col("words")).withColumn("ahead", ahead)
-    # words of this chunk and of all more common ones: where they fall under the least share, the prefix ends
-    within = lambda c, i: (F.col("total") - F.get(F.col("ahead"), i) >= least * F.col("words")) & (c["often"] <= HOT)
-    packed = stored(packed.select("page", "train", "words", F.filter("chunks", within)["chunk"].alias("prefix"), F.col("chunks.chunk").alias("chunks")))
+    lists = common.groupBy("page", "train").agg(F.max("words").alias("words"), F.collect_set(F.struct("often", "chunk")).alias("c"))
+    lists = lists.select("page", "train", "words", F.col("c.often").alias("often"), F.col("c.chunk").alias("chunk"))
+    packed = stored(lists.mapInArrow(_chunk_prefixes(least), "page long, train boolean, words int, prefix array<long>, chunks array<long>"))
     # pairs of pages first, their chunks after
     side = lambda x, cond, *c: packed.where(cond).select(F.col("page").alias(f"page_{x}"), *c)
     chunk = F.explode("prefix").alias("chunk")
-    pairs = stored(side("a", "train", chunk).join(side("b", "not train", chunk), "chunk").select("page_a", "page_b").distinct())
+    pairs = first = stored(side("a", "train", chunk).join(side("b", "not train", chunk), "chunk").select("page_a", "page_b").distinct())
     of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("words", "chunks")]
     pairs = pairs.join(side("a", "train", *of("a")), "page_a").join(side("b", "not train", *of("b")), "page_b")
     shared = F.aggregate(F.array_intersect("chunks_a", "chunks_b"), F.lit(0), lambda t, c: t + length(c))
     pairs = pairs.select("page_a", "page_b", "words_a", "words_b", shared.alias("shared"))
     pairs = pairs.where((F.col("shared") >= least * F.col("words_a")) & (F.col("shared") >= least * F.col("words_b")))
-    return pairs.select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b"))
+    found = stored(pairs.select("page_a", "page_b", "shared", (F.col("shared") / F.col("words_a")).alias("share_a"), (F.col("shared") / F.col("words_b")).alias("share_b")))
+    drop_stored(counts, packed, first)
+    return found
 
 
 def _triples(sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +267,20 @@ def _triples(sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     page = np.repeat(np.arange(len(sizes)), sizes)
     whole = page[:-2] == page[2:]
     h, page = h[whole], page[:-2][whole]
-    order = np.lexsort((h, page))
-    h, page = h[order], page[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (page[1:] != page[:-1])]
-    return np.bincount(page[first], minlength=len(sizes)), h[first]
+    # page and hash in one number, so that a plain sort will do
+    h >>= np.uint64(64 - HASH_BITS)
+    parts = []
+    for begin in range(0, len(sizes), 1 << 64 - HASH_BITS):
+        own = slice(*np.searchsorted(page, (begin, begin + (1 << 64 - HASH_BITS))))
+        key = np.sort(((page[own] - begin).astype(np.uint64) << np.uint64(HASH_BITS)) | h[own])
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        parts.append((begin + (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)))
+    page, h = (np.concatenate(c) for c in zip(*parts))
+    return np.bincount(page, minlength=len(sizes)), h
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return (h >> np.uint64(20)).astype(np.int64) % BUCKETS
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -225,19 +294,31 @@ def _merged(rows: pa.Table) -> pa.Table:
     return pa.table({"of": rows.column("of")[:1], "slice": rows.column("slice")[:1], "packed": pa.array([zlib.compress(whole.tobytes(), 1)], pa.binary())})
 
 
+def _sketch(page: np.ndarray, h: np.ndarray, pages: int) -> np.ndarray:
+    """BITS parities of the hashes of each page, as longs: two sets differ in as many elements at least as in bits."""
+    bits = np.bincount(page * BITS + (h >> np.uint64(37)).astype(np.int64) % BITS, minlength=pages * BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(pages, BITS), axis=1).view(np.int64)
+
+
+_PACKED = ["page", "train", "size", "begin", "hashes", *[f"bits_{k}" for k in range(BITS // 64)]]
+
+
 def _prefixes(held, least_jaccard: float):
-    """``page, train, size, begin, hashes``: the hashes of a page that can be the first one it shares with a partner, the first of them at place ``begin``."""
+    """``page, train, size, begin, hashes, bits``: the hashes of a page that can be the first one it shares with a partner,
+    the first of them at place ``begin``, and the sketch of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (often, places), known = held.value, {}
+        often, places = held.value
         for batch in batches:
-            _, side, ids, sizes, flat = _words(batch, known)
+            _, side, ids, sizes, flat = _words(batch)
             sizes, h = _triples(sizes, flat)
             page = np.repeat(np.arange(len(sizes)), sizes)
+            bits = _sketch(page, h, len(sizes))
             # hashes that stand on one side only come first: no partner has them
             at = _place(h)
             n = np.where((places[at >> 3] >> (at & 7).astype(np.uint8)) & 1, often[_bucket(h)], 0)
-            order = np.lexsort((h, n, page))
+            # h is in order within each page
+            order = np.argsort(page * 256 + n, kind="stable")
             h, n = h[order], n[order]
             at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # a partner is not smaller than the wanted share, so this many hashes must be left from the first common one on
@@ -245,7 +326,7 @@ def _prefixes(held, least_jaccard: float):
             held_by = np.bincount(page[keep], minlength=len(sizes))
             begin = np.bincount(page[n == 0], minlength=len(sizes))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held_by)].astype(np.int32)), pa.array(h[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(sizes.astype(np.int32)), pa.array(begin.astype(np.int32)), lists], names=["page", "train", "size", "begin", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(side), pa.array(sizes.astype(np.int32)), pa.array(begin.astype(np.int32)), lists, *[pa.array(np.ascontiguousarray(b)) for b in bits.T]], names=_PACKED)
 
     return run
 
@@ -262,7 +343,7 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
     # quarters of a doubling are fine enough for an order
     often = np.minimum(1 + 4 * np.log2(1 + counts[0] * counts[1]), 255).astype(np.uint8)
     held = texts.sparkSession.sparkContext.broadcast((often, whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
-    packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, begin int, hashes array<long>").where(F.size("hashes") > 0)
+    packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, begin int, hashes array<long>, " + ", ".join(f"{c} long" for c in _PACKED[5:])).where(F.size("hashes") > 0)
     packed = stored(packed.dropDuplicates(["page", "train"]))
     # a train page sends only what the evaluation pages send too
     asked = np.zeros(PLACES // 8, np.uint8)
@@ -271,13 +352,18 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
         at -= 4 * BUCKETS // SLICE
         asked[at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(part), np.uint8)
     held = texts.sparkSession.sparkContext.broadcast(asked)
-    rows = packed.mapInArrow(_exploded(held), "page long, train boolean, size int, left int, hash long")
+    rows = packed.select(*_PACKED[:5]).mapInArrow(_exploded(held), "page long, train boolean, size int, left int, hash long")
     side = lambda x, cond: rows.where(cond).select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("page", "size", "left")])
-    # common hashes that are not in both prefixes lie beyond the one that ends first: at most as many as that page has left
-    common = side("a", "train").join(side("b", "not train"), "hash").groupBy("page_a", "page_b", "size_a", "size_b").agg(F.count("*").alias("common"), F.max(F.least("left_a", "left_b")).alias("left"))
-    wanted = (F.col("size_a") + F.col("size_b")) * (least_jaccard / (1 + least_jaccard)) - 1e-6
-    rest = lambda c: F.col(c) - F.floor(F.col(c) * (1 - least_jaccard) + 1e-9) - 1
-    return common.where((F.col("left") >= wanted) & (F.col("common") + F.greatest(rest("size_a"), rest("size_b"), F.lit(0)) >= wanted)).select("page_a", "page_b").distinct()
+    # the first hash that a pair has in common leaves all its common ones behind it in both: other meetings are not sent on
+    wanted = lambda a, b: (F.col(a) + F.col(b)) * (least_jaccard / (1 + least_jaccard)) - 1e-6
+    met = side("a", "train").join(side("b", "not train"), "hash").where(F.least("left_a", "left_b") >= wanted("size_a", "size_b"))
+    met = stored(met.select("page_a", "page_b").distinct())
+    bits = lambda x: packed.where(F.col("train") == F.lit(x == "a")).select(F.col("page").alias(f"page_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_PACKED[5:])])
+    met = met.join(bits("a"), "page_a").join(bits("b"), "page_b")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PACKED[5:]), F.lit(0))
+    met = stored(met.where(F.col("size_a") + F.col("size_b") - apart >= 2 * wanted("size_a", "size_b")).select("page_a", "page_b"))
+    drop_stored(packed)
+    return met
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,11 +397,10 @@ def _exploded(held):
 
 def _hashed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            found = _WORD.findall(text.lower())
-            out.append(np.uint64(xxhash.xxh3_64_intdigest(" ".join(found))).astype(np.int64).item() if len(found) >= LEAST_WORDS else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(out, pa.int64())], names=[*batch.schema.names[1:], "text", "page"])
+        lengths, flat = word_hashes(batch.column(0).to_pylist())
+        ends = np.cumsum(lengths)
+        out = [np.uint64(_page_id(flat[e - n : e])).astype(np.int64).item() if n >= LEAST_WORDS else None for n, e in zip(lengths.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["text", "page"])
 
 
 def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, least: float = LEAST) -> DataFrame:
@@ -335,7 +420,7 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     cut = first.where("words is not null").select("page", "train", "words", F.array_distinct("digests").alias("digests"))
     # digests count once in a page
     cut = cut.withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
-    near = stored(chunk_pairs(cut, least))
+    near = chunk_pairs(cut, least)
     rest = triple_pairs(placed.select("train", "text"), first.where("slice is not null").select("of", "slice", "packed"), least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
     pairs = stored(near.select("page_a", "page_b").unionByName(rest))
     n = pairs.count()
