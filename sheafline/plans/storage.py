@@ -38,6 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave, once everything made from them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if file.startswith(shared_dir(spark)) or "/tables/" in file:
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast when its rows are within ``limit`` and the counted bytes of
     its values within BROADCAST_BYTES; otherwise leave the join to shuffle (with AQE splitting
