@@ -82,6 +82,7 @@ def chunk_digests(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return ((digest << np.uint64(8)) | np.minimum(count, 255).astype(np.uint64)).view(np.int64), page[begins]
 
 
+_TALLY = "of boolean, slice int, packed binary"
 _FIRST = "page long, words int, digests array<long>, of boolean, slice int, packed binary"
 
 
@@ -334,10 +335,10 @@ def _prefixes(held, least_jaccard: float):
 def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> DataFrame:
     """``page_a, page_b``: all distinct texts of the training (a) and the evaluation splits (b) of
     ``texts(train, text)`` whose three-word sets can have ``least_jaccard`` of their union in
-    common; no such pair is left out. ``tally`` has the packed counts and places of their hashes.
+    common; no such pair is left out. ``tally`` has the packed counts and places of their hashes, a row a slice.
     """
     whole = np.zeros((2, 4 * BUCKETS + PLACES // 8), np.uint8)
-    for side, at, packed in tally.groupBy("of", "slice").applyInArrow(_merged, "of boolean, slice int, packed binary").collect():
+    for side, at, packed in tally.collect():
         whole[int(side), at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint8)
     counts = whole[:, : 4 * BUCKETS].copy().view(np.uint32).astype(np.float32)
     # quarters of a doubling are fine enough for an order
@@ -347,8 +348,8 @@ def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> Da
     packed = stored(packed.dropDuplicates(["page", "train"]))
     # a train page sends only what the evaluation pages send too
     asked = np.zeros(PLACES // 8, np.uint8)
-    marks = packed.where("not train").select("hashes").mapInArrow(_marks, "of boolean, slice int, packed binary")
-    for _, at, part in marks.groupBy("of", "slice").applyInArrow(_merged, "of boolean, slice int, packed binary").collect():
+    marks = packed.where("not train").select("hashes").mapInArrow(_marks, _TALLY)
+    for _, at, part in marks.groupBy("of", "slice").applyInArrow(_merged, _TALLY).collect():
         at -= 4 * BUCKETS // SLICE
         asked[at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(part), np.uint8)
     held = texts.sparkSession.sparkContext.broadcast(asked)
@@ -416,16 +417,20 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     placed = with_split(pages, splits).where("text is not null")
     keys = placed.select("train", "text", *PAGE, "split", source_key("source").alias("source"))
     schema = "train boolean, " + ", ".join(f"{n} {t}" for n, t in keys.dtypes[2:]) + ", " + _FIRST
-    first = stored(keys.mapInArrow(_cut(len(keys.columns) - 2), schema))
+    whole = stored(keys.mapInArrow(_cut(len(keys.columns) - 2), schema))
+    # the counts of all tasks are merged and let go at once
+    first = stored(whole.where("page is not null").drop("of", "slice", "packed"))
+    tally = stored(whole.where("slice is not null").select("of", "slice", "packed").groupBy("of", "slice").applyInArrow(_merged, _TALLY))
+    drop_stored(whole)
     cut = first.where("words is not null").select("page", "train", "words", F.array_distinct("digests").alias("digests"))
     # digests count once in a page
     cut = cut.withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
     near = chunk_pairs(cut, least)
-    rest = triple_pairs(placed.select("train", "text"), first.where("slice is not null").select("of", "slice", "packed"), least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
+    rest = triple_pairs(placed.select("train", "text"), tally, least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
     pairs = stored(near.select("page_a", "page_b").unionByName(rest))
     n = pairs.count()
     wanted = pairs.select(F.explode(F.array("page_a", "page_b")).alias("page")).distinct()
-    members = stored(first.where("page is not null").select("page", *PAGE, "split", "source").distinct().join(small_or_shuffled(stored(wanted)), "page", "left_semi"))
+    members = stored(first.select("page", *PAGE, "split", "source").distinct().join(small_or_shuffled(stored(wanted)), "page", "left_semi"))
     # one place of each text, read again
     places = stored(members.groupBy("page").agg(F.min(F.struct(*PAGE)).alias("at")).select(*[F.col(f"at.{c}").alias(f"at_{c}") for c in PAGE]))
     same = [pages[c].eqNullSafe(places[f"at_{c}"]) for c in PAGE]
