@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.functions.similarity import bucket, space_words
+from sheafline.functions.similarity import DIMENSIONS, bucket, space_words
 from sheafline.functions.text import strip, tokens
+from sheafline.plans.storage import small_or_shuffled, stored
 
 TOP_N, RERANK_N, TOP_K, VECTOR_WEIGHT = 50, 20, 5, 0.4
 #: Queries that are scored together against every row of the index.
 QUERY_BLOCK = 2_000
+#: Chunks of a part of the index, and how many of them are scored at once.
+INDEX_PART, SLICE = 20_000, 4_000
 
 
 def hash_index(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -29,19 +33,57 @@ def normalize_query(text: Column) -> Column:
     return F.regexp_replace(strip(text), r"(?U)\s+", " ")
 
 
+def _best(top_n: int):
+    """The ``top_n`` chunks of each query of a block among those of a part that share a bucket with it."""
+
+    def run(asked: pa.Table, part: pa.Table) -> pa.Table:
+        out = {"query_id": [asked["query_id"].slice(0, 0)], "chunk_id": [part["chunk_id"].slice(0, 0)], "score": [pa.chunked_array([], pa.float64())]}
+        if asked.num_rows and part.num_rows:
+            queries, q = _matrix(asked, "query_id")
+            chunks, c = _matrix(part, "chunk_id")
+            for begin in range(0, len(chunks), SLICE):
+                score = q @ c[begin : begin + SLICE].T
+                # chunks are in order of id, so equal scores are too
+                order = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :top_n]
+                found = np.take_along_axis(score, order, axis=1)
+                row, place = np.nonzero(found > 0)
+                for name, column in (("query_id", queries.take(pa.array(row))), ("chunk_id", chunks.take(pa.array(begin + order[row, place]))), ("score", pa.array(found[row, place]))):
+                    out[name].append(column)
+        return pa.table({name: pa.chunked_array([piece for c in columns for piece in (c.chunks if isinstance(c, pa.ChunkedArray) else [c])], type=columns[0].type) for name, columns in out.items()})
+
+    return run
+
+
+def _matrix(rows: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys in order and a row of summed weights for each."""
+    column = rows[key].combine_chunks()
+    keys = column.unique()
+    keys = keys.take(pc.sort_indices(keys))
+    cell = pc.index_in(column, keys).to_numpy(zero_copy_only=False).astype(np.int64) * DIMENSIONS + rows["bucket"].to_numpy()
+    return keys, np.bincount(cell, rows["weight"].to_numpy(), minlength=len(keys) * DIMENSIONS).reshape(len(keys), DIMENSIONS)
+
+
 def search(queries: DataFrame, index: DataFrame, ids: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``top_n`` chunks of each query by inner product.
 
     Both sides are sparse ``(id, bucket, weight)``; chunks that share no bucket score 0 and
     still fill the list when fewer others do. ``ids`` has every chunk; a query without words
-    finds nothing.
+    finds nothing. Blocks of queries meet parts of the index, both of bounded size, and send
+    on only the best ``top_n`` of a part.
     """
-    score = F.round(F.sum(F.col("q.weight") * F.col("c.weight")), 6)
-    hits = queries.alias("q").join(index.alias("c"), "bucket").groupBy("query_id", "chunk_id").agg(score.alias("score"))
-    # the first chunks by id are enough to fill any list
-    fill = F.broadcast(ids.select("chunk_id").distinct().orderBy("chunk_id").limit(top_n))
     asked = queries.select("query_id").distinct()
-    zeros = asked.join(fill, F.lit(True)).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    blocks, parts = (max(1, -(-n // size)) for n, size in ((asked.count(), QUERY_BLOCK), (ids.count(), INDEX_PART)))
+    at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "bucket", "weight", at("query_id", blocks).alias("block"), every(parts).alias("part"))
+    right = index.select("chunk_id", "bucket", "weight", at("chunk_id", parts).alias("part"), every(blocks).alias("block"))
+    kinds = dict(queries.dtypes)["query_id"], dict(index.dtypes)["chunk_id"]
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best(top_n), "query_id {}, chunk_id {}, score double".format(*kinds))
+    hits = stored(hits.withColumn("score", F.round("score", 6)))
+    # the first chunks by id are enough to fill any list
+    first = [F.lit(r[0]) for r in ids.select("chunk_id").distinct().orderBy("chunk_id").limit(top_n).collect()]
+    fill = asked.withColumn("chunk_id", F.explode(F.array(*first).cast(f"array<{kinds[1]}>")))
+    zeros = fill.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return hits.unionByName(zeros).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
@@ -123,7 +165,7 @@ def token_overlap(query: str, text: str) -> Column:
 def relevant(chunks: DataFrame, truth: DataFrame) -> DataFrame:
     """``query_id, chunk_id``: chunks of the wanted type that contain the wanted text, in lower case."""
     wanted = truth.select("query_id", F.col("document_type").alias("t"), F.lower("match_text").alias("m"))
-    return chunks.join(F.broadcast(wanted), (F.col("document_type") == F.col("t")) & F.contains(F.lower("text"), F.col("m"))).select("query_id", "chunk_id").distinct()
+    return chunks.join(small_or_shuffled(stored(wanted)), (F.col("document_type") == F.col("t")) & F.contains(F.lower("text"), F.col("m"))).select("query_id", "chunk_id").distinct()
 
 
 def query_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

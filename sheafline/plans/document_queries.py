@@ -11,7 +11,7 @@ from sheafline.operators import page_types as T
 from sheafline.operators import retrieval as R
 from sheafline.operators import sample_layouts as L
 from sheafline.operators import structure as S
-from sheafline.plans.storage import stored
+from sheafline.plans.storage import small_or_shuffled, stored
 from sheafline.plans.stream_queries import _TRUE, _bucket, _pages
 from sheafline.sources.tables import table
 
@@ -68,7 +68,7 @@ def _found(spark, folder):
     e = _embeddings(spark, folder)
     q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector", F.col("document_type").alias("query_type"))
     found = R.dense_search(q.select("query_id", "vector"), e)
-    return found.join(e.select("chunk_id", "document_type"), "chunk_id").join(F.broadcast(q.select("query_id", "query_type")), "query_id")
+    return found.join(e.select("chunk_id", "document_type"), "chunk_id").join(small_or_shuffled(stored(q.select("query_id", "query_type"))), "query_id")
 
 
 def vector_topn(spark, folder):
@@ -96,8 +96,8 @@ def _text_found(spark, folder):
     c = _chunks(spark, folder)
     index = stored(R.hash_index(c.select("chunk_id", "text"), "chunk_id"))
     q = _queries(spark, folder)
-    asked = R.hash_index(q.select("query_id", F.col("query").alias("text")), "query_id")
-    return stored(R.search(F.broadcast(asked), index, c)), q, c
+    asked = stored(R.hash_index(q.select("query_id", F.col("query").alias("text")), "query_id"))
+    return stored(R.search(asked, index, c)), q, c
 
 
 def hash_embedding(spark, folder):
@@ -112,7 +112,7 @@ def evidence_topk(spark, folder):
 
 def rerank_combined(spark, folder):
     found, q, c = _text_found(spark, folder)
-    texts = found.join(c.select("chunk_id", "text"), "chunk_id").join(F.broadcast(q.select("query_id", "query")), "query_id")
+    texts = found.join(c.select("chunk_id", "text"), "chunk_id").join(small_or_shuffled(stored(q.select("query_id", "query"))), "query_id")
     e = R.evidence(texts, rerank=R.token_overlap("query", "text"))
     return e.select("query_id", "chunk_id", "vector_score", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"), "rank")
 
