@@ -35,17 +35,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def drop_stored(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` gave, once everything made from them is stored itself."""
+    """Delete tables as returned by ``stored``, once everything made from them is stored itself."""
     for df in tables:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if file.startswith(shared_dir(spark)) or "/tables/" in file:
-                path = spark._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_shuffled(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
