@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,22 @@ def normalize_query(text: Column) -> Column:
     return F.regexp_replace(strip(text), r"(?U)\s+", " ")
 
 
-def _best(top_n: int):
-    """The ``top_n`` chunks of each query of a block among those of a part that share a bucket with it."""
+def _best(top_n: int, matrix: Callable, floor: float):
+    """The ``top_n`` chunks above ``floor`` of each query of a block among those of a part of the index."""
 
     def run(asked: pa.Table, part: pa.Table) -> pa.Table:
         out = {"query_id": [asked["query_id"].slice(0, 0)], "chunk_id": [part["chunk_id"].slice(0, 0)], "score": [pa.chunked_array([], pa.float64())]}
         if asked.num_rows and part.num_rows:
-            queries, q = _matrix(asked, "query_id")
-            chunks, c = _matrix(part, "chunk_id")
+            queries, q = matrix(asked, "query_id")
+            chunks, c = matrix(part, "chunk_id")
+            if q.shape[1] != c.shape[1]:
+                raise ValueError(f"queries of {q.shape[1]} numbers, an index of {c.shape[1]}")
             for begin in range(0, len(chunks), SLICE):
                 score = q @ c[begin : begin + SLICE].T
                 # chunks are in order of id, so equal scores are too
                 order = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :top_n]
                 found = np.take_along_axis(score, order, axis=1)
-                row, place = np.nonzero(found > 0)
+                row, place = np.nonzero(~(found <= floor))
                 for name, column in (("query_id", queries.take(pa.array(row))), ("chunk_id", chunks.take(pa.array(begin + order[row, place]))), ("score", pa.array(found[row, place]))):
                     out[name].append(column)
         return pa.table({name: pa.chunked_array([piece for c in columns for piece in (c.chunks if isinstance(c, pa.ChunkedArray) else [c])], type=columns[0].type) for name, columns in out.items()})
@@ -54,7 +56,7 @@ def _best(top_n: int):
     return run
 
 
-def _matrix(rows: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+def _sparse(rows: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
     """Keys in order and a row of summed weights for each."""
     column = rows[key].combine_chunks()
     keys = column.unique()
@@ -63,67 +65,61 @@ def _matrix(rows: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
     return keys, np.bincount(cell, rows["weight"].to_numpy(), minlength=len(keys) * DIMENSIONS).reshape(len(keys), DIMENSIONS)
 
 
+def _vector_of(key: str) -> str:
+    """Vectors have a name for each side, as both sides may come from one table."""
+    return key.replace("_id", "_vector")
+
+
+def _dense(rows: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys in order, repeats kept, and the vector of each."""
+    rows = rows.take(pc.sort_indices(rows[key].combine_chunks()))
+    vectors = rows[_vector_of(key)].combine_chunks()
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) != 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    return rows[key].combine_chunks(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), lengths[0]).astype(np.float64)
+
+
+def _met(queries: DataFrame, index: DataFrame, asked: int, held: int, top_n: int, matrix: Callable, floor: float) -> DataFrame:
+    """``query_id, chunk_id, score``: blocks of queries meet parts of the index, both of bounded size,
+    and send on only the best ``top_n`` of a part."""
+    blocks, parts = (max(1, -(-n // size)) for n, size in ((asked, QUERY_BLOCK), (held, INDEX_PART)))
+    at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("block", at("query_id", blocks)).withColumn("part", every(parts))
+    right = index.withColumn("part", at("chunk_id", parts)).withColumn("block", every(blocks))
+    kinds = dict(queries.dtypes)["query_id"], dict(index.dtypes)["chunk_id"]
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best(top_n, matrix, floor), "query_id {}, chunk_id {}, score double".format(*kinds))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def search(queries: DataFrame, index: DataFrame, ids: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``top_n`` chunks of each query by inner product.
 
     Both sides are sparse ``(id, bucket, weight)``; chunks that share no bucket score 0 and
     still fill the list when fewer others do. ``ids`` has every chunk; a query without words
-    finds nothing. Blocks of queries meet parts of the index, both of bounded size, and send
-    on only the best ``top_n`` of a part.
+    finds nothing.
     """
     asked = queries.select("query_id").distinct()
-    blocks, parts = (max(1, -(-n // size)) for n, size in ((asked.count(), QUERY_BLOCK), (ids.count(), INDEX_PART)))
-    at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "bucket", "weight", at("query_id", blocks).alias("block"), every(parts).alias("part"))
-    right = index.select("chunk_id", "bucket", "weight", at("chunk_id", parts).alias("part"), every(blocks).alias("block"))
-    kinds = dict(queries.dtypes)["query_id"], dict(index.dtypes)["chunk_id"]
-    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best(top_n), "query_id {}, chunk_id {}, score double".format(*kinds))
-    hits = stored(hits.withColumn("score", F.round("score", 6)))
+    hits = stored(_met(queries.select("query_id", "bucket", "weight"), index.select("chunk_id", "bucket", "weight"), asked.count(), ids.count(), top_n, _sparse, 0.0))
     # the first chunks by id are enough to fill any list
     first = [F.lit(r[0]) for r in ids.select("chunk_id").distinct().orderBy("chunk_id").limit(top_n).collect()]
-    fill = asked.withColumn("chunk_id", F.explode(F.array(*first).cast(f"array<{kinds[1]}>")))
+    fill = asked.withColumn("chunk_id", F.explode(F.array(*first).cast(f"array<{dict(index.dtypes)['chunk_id']}>")))
     zeros = fill.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return hits.unionByName(zeros).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
-def _dense(held, top_n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = held.value
-        for batch in batches:
-            rows = batch.filter(batch.column(1).is_valid())
-            if not rows.num_rows or not len(ids):
-                continue
-            x = rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
-            score = matrix @ x.T
-            # only what can be among the best of all is sent on
-            keep = min(top_n, score.shape[1])
-            floor = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-            q, c = np.nonzero(score >= floor[:, None] - 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), rows.column(0).take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "score"])
-
-    return run
-
-
 def dense_search(queries: DataFrame, index: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by inner product of dense vectors of one length.
 
-    Queries ``(query_id, vector)`` go in blocks of QUERY_BLOCK past every row of the index
-    ``(chunk_id, vector)``; each batch of rows sends on its best ``top_n`` of a query.
-    Null vectors take no part; equal scores are ranked by id.
+    Queries are ``(query_id, vector)``, the index is ``(chunk_id, vector)``. Null vectors take
+    no part; vectors of different lengths are an error; equal scores are ranked by id.
     """
-    spark = index.sparkSession
-    queries = queries.where("vector is not null")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        matrix = np.stack(part["vector"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        hits = index.select("chunk_id", "vector").mapInArrow(_dense(spark.sparkContext.broadcast((part["query_id"].to_numpy(), matrix)), top_n), "query_id long, chunk_id long, score double")
-        found = hits if found is None else found.unionByName(hits)
+    queries, index = (side.where("vector is not null").select(key, F.col("vector").alias(_vector_of(key))) for side, key in ((queries, "query_id"), (index, "chunk_id")))
+    hits = _met(queries, index, queries.count(), index.count(), top_n, _dense, -np.inf)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
 def min_max(score: Column, query: str = "query_id") -> Column:

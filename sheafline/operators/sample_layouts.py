@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.operators.page_types import UNKNOWN
@@ -33,9 +33,11 @@ def boundaries_layout(samples: DataFrame) -> DataFrame:
 
 def labels_layout(samples: DataFrame) -> DataFrame:
     """``packet_id, labels``: runs of equal neighbouring labels."""
-    label = F.transform("labels", lambda x: F.coalesce(x.cast("string"), F.lit("None")))
-    p = samples.withColumn("l", label).select("packet_id", F.posexplode(F.transform("l", lambda x, i: F.struct(x.alias("label"), F.aggregate(F.slice("l", F.lit(1), i + 1), F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("before")), lambda s, y: F.struct((s["n"] + F.when(s["before"].isNull() | (s["before"] != y), 1).otherwise(0)).alias("n"), y.alias("before")))["n"].alias("run")))).alias("no", "x"))
-    return p.groupBy("packet_id", F.col("x.run").alias("group_no")).agg(F.array_join(F.array_sort(F.collect_list(F.col("no") + 1)), ",").alias("pages"), F.min("x.label").alias("document_type"))
+    p = samples.select("packet_id", F.posexplode("labels").alias("no", "x")).select("packet_id", "no", F.coalesce(F.col("x").cast("string"), F.lit("None")).alias("label"))
+    order = Window.partitionBy("packet_id").orderBy("no")
+    starts = F.coalesce(F.col("label") != F.lag("label").over(order), F.lit(True)).cast("int")
+    runs = p.withColumn("starts", starts).withColumn("group_no", F.sum("starts").over(order).cast("int"))
+    return runs.groupBy("packet_id", "group_no").agg(F.array_join(F.array_sort(F.collect_list(F.col("no") + 1)), ",").alias("pages"), F.min("label").alias("document_type"))
 
 
 def no_layout(samples: DataFrame) -> DataFrame:

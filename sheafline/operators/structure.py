@@ -25,37 +25,34 @@ def table_columns(text: Column) -> Column:
     return F.when(F.size(parts) >= 2, parts)
 
 
-def runs(blocks: Column) -> Column:
-    """For each block the first block of its run and the run's mode: array of (start, mode).
+def line_flags(blocks: Column) -> Column:
+    """For each block whether it is an image, looks like a table line and like a list line."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def flags(b: Column) -> Column:
+        image, text = yes(b["block_type"] == "image"), F.coalesce(b["text"], F.lit(""))
+        return F.struct(image.alias("image"), (~image & ~yes(b["is_heading"]) & table_columns(text).isNotNull()).alias("table"), list_like(text).alias("list"))
+
+    return F.transform(blocks, flags)
+
+
+def runs(flags: str) -> Column:
+    """Runs of blocks from the column of their flags: array of (start, mode, size).
 
     Left to right: a started table or list goes on while its lines do; a list takes in lines
     that look like a table too. A table needs two lines and ends before images and headings.
     """
-    flags = F.transform(
-        blocks,
-        lambda b: F.struct(
-            F.coalesce(b["block_type"] == "image", F.lit(False)).alias("image"),
-            (table_columns(F.coalesce(b["text"], F.lit(""))).isNotNull() & ~F.coalesce(b["block_type"] == "image", F.lit(False)) & ~F.coalesce(b["is_heading"], F.lit(False))).alias("table"),
-            list_like(F.coalesce(b["text"], F.lit(""))).alias("list"),
-        ),
-    )
-    seen = F.transform(flags, lambda f, i: F.struct(i.alias("i"), f["image"].alias("image"), f["table"].alias("table"), f["list"].alias("list"), (f["table"] & F.coalesce(F.get(flags, i + 1)["table"], F.lit(False))).alias("two")))
-    empty = F.struct(F.lit(_SINGLE).alias("mode"), F.lit(0).alias("start"), F.array().cast("array<struct<start:int,mode:int>>").alias("out"))
+    run = "struct<start:int,mode:int,size:int>"
+    seen = F.transform(flags, lambda f, i: F.struct(i.alias("i"), *[f[k].alias(k) for k in ("image", "table", "list")], (f["table"] & F.coalesce(F.get(flags, i + 1)["table"], F.lit(False))).alias("two")))
+    empty = F.struct(F.lit(_SINGLE).alias("mode"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast(f"array<{run}>").alias("out"))
+    closed = lambda s: F.when(s["size"] > 0, F.concat(s["out"], F.array(F.struct(s["start"], s["mode"], s["size"]).cast(run)))).otherwise(s["out"])
 
     def step(s: Column, f: Column) -> Column:
-        mode = (
-            F.when((s["mode"] == _LIST) & f["list"], _LIST)
-            .when((s["mode"] == _TABLE) & f["table"], _TABLE)
-            .when(f["image"], _SINGLE)
-            .when(f["two"], _TABLE)
-            .when(f["list"], _LIST)
-            .otherwise(_SINGLE)
-        )
         goes_on = ((s["mode"] == _LIST) & f["list"]) | ((s["mode"] == _TABLE) & f["table"])
-        start = F.when(goes_on, s["start"]).otherwise(f["i"])
-        return F.struct(mode.alias("mode"), start.alias("start"), F.concat(s["out"], F.array(F.struct(start.alias("start"), mode.alias("mode")))).alias("out"))
+        mode = F.when(goes_on, s["mode"]).when(f["image"], _SINGLE).when(f["two"], _TABLE).when(f["list"], _LIST).otherwise(_SINGLE)
+        return F.struct(mode.alias("mode"), F.when(goes_on, s["start"]).otherwise(f["i"]).alias("start"), F.when(goes_on, s["size"] + 1).otherwise(1).alias("size"), F.when(goes_on, s["out"]).otherwise(closed(s)).alias("out"))
 
-    return F.aggregate(seen, empty, step, lambda s: s["out"])
+    return F.aggregate(seen, empty, step, closed)
 
 
 def content_blocks(pages: DataFrame) -> DataFrame:
@@ -64,17 +61,24 @@ def content_blocks(pages: DataFrame) -> DataFrame:
     ``block`` has type, text, headers, rows, items, bbox, source_block_type and
     source_block_count. A page without blocks but with text is one paragraph.
     """
-    b = pages.withColumn("blocks", F.coalesce("blocks", F.array().cast(pages.schema["blocks"].dataType))).withColumn("runs", runs(F.col("blocks")))
-    zipped = F.zip_with("blocks", "runs", lambda x, r: F.struct(r["start"].alias("start"), r["mode"].alias("mode"), x.alias("b")))
-    b = b.withColumn("zipped", zipped).withColumn("starts", F.array_distinct(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["mode"].alias("mode")))))
+    # flags and runs are columns of their own: inside a lambda they would be worked out again for each line
+    b = pages.withColumn("blocks", F.coalesce("blocks", F.array().cast(pages.schema["blocks"].dataType))).withColumn("flags", line_flags(F.col("blocks"))).withColumn("runs", runs("flags"))
+
+    def lines_of(r: Column) -> Column:
+        mine = F.slice("blocks", r["start"] + 1, r["size"])
+        return F.struct(r["mode"].alias("mode"), mine.alias("mine"), F.when(r["mode"] == _TABLE, F.transform(mine, lambda x: table_columns(x["text"]))).alias("lines"))
+
+    def measured(r: Column) -> Column:
+        return F.struct(r["mode"].alias("mode"), r["mine"].alias("mine"), r["lines"].alias("lines"), F.array_max(F.transform(r["lines"], F.size)).alias("width"))
+
+    def padded_lines(r: Column) -> Column:
+        padded = F.transform(r["lines"], lambda c: F.concat(c, F.array_repeat(F.lit(""), r["width"] - F.size(c))))
+        return F.struct(r["mode"].alias("mode"), r["mine"].alias("mine"), padded.alias("padded"))
 
-    def build(s: Column) -> Column:
-        mine = F.transform(F.filter("zipped", lambda z: z["start"] == s["start"]), lambda z: z["b"])
+    def build(r: Column) -> Column:
+        mine, padded = r["mine"], r["padded"]
         one = F.get(mine, F.lit(0))
-        lines = F.transform(mine, lambda x: table_columns(x["text"]))
-        width = F.array_max(F.transform(lines, F.size))
-        padded = F.transform(lines, lambda c: F.concat(c, F.array_repeat(F.lit(""), width - F.size(c))))
-        is_table, is_list = s["mode"] == _TABLE, s["mode"] == _LIST
+        is_table, is_list = r["mode"] == _TABLE, r["mode"] == _LIST
         stripped = F.transform(mine, lambda x: strip(x["text"]))
         inner = F.filter(F.transform(F.split(one["text"], "\n"), strip), lambda x: x.rlike(LIST_LINE))
         image = F.coalesce(one["block_type"] == "image", F.lit(False))
@@ -96,7 +100,7 @@ def content_blocks(pages: DataFrame) -> DataFrame:
             F.when(many, F.size(mine)).alias("source_block_count"),
         )
 
-    built = F.transform("starts", build)
+    built = F.transform(F.transform(F.transform(F.transform("runs", lines_of), measured), padded_lines), build)
     whole = strip(F.coalesce("text", F.lit("")))
     kind = "struct<type:string,text:string,headers:array<string>,rows:array<array<string>>,items:array<string>,bbox:array<double>,source_block_type:string,source_block_count:int>"
     fallback = F.array(F.struct(F.lit("paragraph").alias("type"), whole.alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("headers", "array<string>"), ("rows", "array<array<string>>"), ("items", "array<string>"), ("bbox", "array<double>"), ("source_block_type", "string"), ("source_block_count", "int"))]))

@@ -88,3 +88,14 @@ def test_incremental_index(spark, tmp_path):
     stream = spark.readStream.schema("chunk_id string, text string").parquet(str(source))
     index_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/vectors")).count() == 4
+
+
+def test_dense_search_over_many_blocks_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, size=(120, 3)).astype(float))], "chunk_id long, vector array<double>")
+    q = index.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    whole = sorted(map(tuple, R.dense_search(q, index, 9).collect()))
+    for name, size in (("QUERY_BLOCK", 5), ("INDEX_PART", 20), ("SLICE", 7)):
+        monkeypatch.setattr(R, name, size)
+    assert sorted(map(tuple, R.dense_search(q, index, 9).collect())) == whole and len(whole) == 12 * 9
+    assert R.dense_search(q.where("false"), index).count() == 0 and R.dense_search(q, index.where("false")).count() == 0

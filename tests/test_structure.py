@@ -64,6 +64,13 @@ def test_runs_equal_the_automaton(spark):
     assert {c: got[c] for c in cases} == {c: automaton(c) for c in cases}
 
 
+def test_a_page_of_many_lines(spark):
+    rows = [(f"{i}  x" + "  y" * (i % 2)) for i in range(1500)] + ["plain", "- a"] * 700
+    out = built(spark, [block(x) for x in rows])
+    assert [b.type for b in out] == ["table"] + ["paragraph", "list"] * 700
+    assert len(out[0].rows) == 1499 and {len(r) for r in out[0].rows} == {3}
+
+
 def test_sections_and_title(spark):
     rows = [("p1", "k", 1, "First line\nmore", [block("intro"), block("Title", heading=True), block("body")]), ("p2", "k", 2, "", [block("Empty", heading=True), block("Last", heading=True)])]
     pages = spark.createDataFrame(rows, PAGES)
