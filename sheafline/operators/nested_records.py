@@ -287,4 +287,48 @@ def _query(name: str):
 
 
 QUERIES = {"p2_found": p2_found} | {f"p2_{n}": _query(n) for n in ("documents", "sections", "blocks", "rows", "cells", "items")}
-SQL: dict[str, str] = {}
+
+_json_list = "case when {0} is null or json_type({0}) = 'NULL' then []::json[] when json_type({0}) = 'ARRAY' then from_json({0}, '[\"json\"]') else [{0}] end".format
+_json_text = "case when json_type({0}) not in ('NULL', 'ARRAY', 'OBJECT') then {0} ->> '$' end".format
+_there = "({0} is not null and json_type({0}) <> 'NULL')".format
+_pieces = "unnest({0}) as {1}, generate_subscripts({0}, 1) - 1 as {2}".format
+
+
+def _level(name: str, above: str, keep: str, held: str, value: str, number: str) -> str:
+    """One level of lists below ``above``: its columns ``keep``, each ``value`` of the list ``held``, and its ``number``."""
+    return f"{name} as (select {keep}, {_pieces('l', value, number)} from (select {keep}, {held} as l from {above}))"
+
+
+_AT, _BLOCK = "document_id, section_no", "document_id, section_no, block_no"
+_ID = "coalesce({}, {})".format(*(f"case when json_type({x}) in ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') then {_json_text(x)} end" for x in ("j -> '$.document_id'", "j -> '$.metadata.document_id'")))
+#: Typed levels begin with t, those of the JSON texts with r.
+_LEVELS = ", ".join(
+    (
+        "bodies as (select cast(body as json) as b from (select distinct body from raw_records where json_valid(body)))",
+        "opened as (select case when json_type(b -> '$.document') = 'OBJECT' then b -> '$.document' else b end as j from bodies)",
+        f"named as (select {_ID} as document_id, {_json_text('document_type')} as document_type, case when json_type(c) <> 'VARCHAR' then c when json_valid(c ->> '$') then cast(c ->> '$' as json) end as content from (select j, j -> '$.document_type' as document_type, j -> '$.content' as c from opened))",
+        _level("ts", "structured_documents", "document_id", "content.sections", "s", "section_no"),
+        _level("tb", "ts", _AT, "s.blocks", "b", "block_no"),
+        _level("tr", "tb", _BLOCK, "b.rows", "r", "row_no"),
+        _level("tc", "tr", _BLOCK + ", row_no", "r", "c", "cell_no"),
+        _level("ti", "tb", _BLOCK, "b.items", "c", "item_no"),
+        _level("rs", "named", "document_id", _json_list("(content -> '$.sections')"), "s", "section_no"),
+        _level("rb", "rs", _AT, _json_list("(s -> '$.blocks')"), "b", "block_no"),
+        _level("rr", "rb", _BLOCK, _json_list("(b -> '$.rows')"), "r", "row_no"),
+        _level("rc", "rr", _BLOCK + ", row_no", _json_list("r"), "c", "cell_no"),
+        _level("ri", "rb", _BLOCK, _json_list("(b -> '$.items')"), "c", "item_no"),
+    )
+)
+_row, _cell, _item = _BLOCK + ", row_no", _BLOCK + ", row_no, cell_no", _BLOCK + ", item_no"
+_text_of = lambda x, member: _json_text(f"({x} -> '$.{member}')") + f" as {member}"
+_SELECTS = {
+    "documents": f"select document_id, document_type, content.title as title from structured_documents union select document_id, document_type, {_text_of('content', 'title')} from named",
+    "sections": f"select {_AT}, s.heading as heading from ts where s is not null union select {_AT}, {_text_of('s', 'heading')} from rs where {_there('s')} and json_type(s) <> 'ARRAY'",
+    "blocks": f"select {_BLOCK}, b.type as type, b.text as text from tb where b is not null union select {_BLOCK}, {_text_of('b', 'type')}, {_text_of('b', 'text')} from rb where {_there('b')} and json_type(b) <> 'ARRAY'",
+    "rows": f"select {_row} from tr where r is not null union select {_row} from rr where {_there('r')}",
+    "cells": f"select {_cell}, c as value from tc where c is not null union select {_cell}, {_json_text('c')} from rc where {_there('c')}",
+    "items": f"select {_item}, c as value from ti where c is not null union select {_item}, {_json_text('c')} from ri where {_there('c')}",
+}
+_found = f"select {_BLOCK}, 'cell' as element, row_no, cell_no from (select * from cells) union select {_BLOCK}, 'item', item_no, 0 from (select * from items)"
+SQL = {f"p2_{name}": f"with {_LEVELS} {select}" for name, select in _SELECTS.items()}
+SQL["p2_found"] = f"with {_LEVELS}, cells as ({_SELECTS['cells']}), items as ({_SELECTS['items']}) {_found}"
