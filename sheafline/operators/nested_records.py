@@ -9,6 +9,7 @@ become value rows that are linked to their containers.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from sheafline.sources.tables import table
 
 #: Bytes of JSON text indexed at a time; a longer text is indexed alone.
 BATCH_BYTES = 4 << 20
+#: Levels below the root that the tables name: an outer object, content, sections, blocks, rows and their elements.
+TABLE_DEPTH = 9
 
 _OPEN, _CLOSE = (ord("{"), ord("[")), (ord("}"), ord("]"))
 _SPACE = np.zeros(256, bool)
@@ -31,13 +34,52 @@ def _constant(name: str):
     raise ValueError(name)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
+
+
+def _valid_at_any_depth(text: str) -> bool:
+    """Token by token, with the open brackets in a list."""
+    opened: list[str] = []
+    wanted, at, end = "value", 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            return False
+        at, mark, is_string = token.end(), token[1], token[2] is not None
+        if wanted == "first key" and mark == "}" or wanted == "first value" and mark == "]" or wanted == "next" and opened and mark == {"[": "]", "{": "}"}[opened[-1]]:
+            opened.pop()
+            wanted = "next"
+        elif wanted in ("key", "first key"):
+            if not is_string:
+                return False
+            wanted = "colon"
+        elif wanted == "colon":
+            if mark != ":":
+                return False
+            wanted = "value"
+        elif wanted == "next":
+            if mark != "," or not opened:
+                return False
+            wanted = "key" if opened[-1] == "{" else "value"
+        elif mark in ("[", "{"):
+            opened.append(mark)
+            wanted = "first value" if mark == "[" else "first key"
+        elif mark is None:
+            wanted = "next"
+        else:
+            return False
+    return wanted == "next" and not opened
+
+
 def valid_json(text: str) -> bool:
-    """Whether the text is one JSON value; NaN and infinities are none, nor is nesting beyond Python's limit."""
+    """Whether the text is one JSON value, nested however deep; NaN and infinities are none."""
     try:
         json.loads(text, parse_constant=_constant)
         return True
-    except (ValueError, RecursionError):
+    except ValueError:
         return False
+    except RecursionError:
+        return _valid_at_any_depth(text)
 
 
 def structural_index(texts: list[bytes]) -> dict[str, np.ndarray | list]:
@@ -62,13 +104,12 @@ def structural_index(texts: list[bytes]) -> dict[str, np.ndarray | list]:
     depth_at = np.cumsum(opened.astype(np.int32) - closed.astype(np.int32))
     char = data[marks]
     depth = depth_at[marks]
-    # container of each mark: the last bracket opened at its depth
-    container = np.full(len(marks), -1)
+    # container of each mark: the last bracket opened at its depth; every depth but 0 begins with one
     is_open = np.isin(char, _OPEN)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        here = np.maximum.accumulate(np.where(is_open & (depth == d), np.arange(len(marks)), -1))
-        same = depth == d
-        container[same] = here[same]
+    by_depth = np.argsort(depth, kind="stable")
+    last = np.maximum.accumulate(np.where(is_open[by_depth], np.arange(len(marks)), -1))
+    container = np.full(len(marks), -1)
+    container[by_depth[last >= 0]] = by_depth[last[last >= 0]]
     # values stand after an opened array, a colon, a comma in an array, and at the start of a text
     in_array = np.zeros(len(marks), bool)
     known = container >= 0
@@ -121,16 +162,23 @@ def _string(raw: bytes) -> str:
 _NODES = "doc long, path string, places array<int>, kind string, value string"
 
 
-def _rows(keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
+def _rows(keys: list[int], texts: list[bytes], deepest: float) -> pa.RecordBatch:
     x = structural_index(texts)
     data = x["data"].tobytes()
     parent, keyed, span = x["parent"].tolist(), x["keyed"].tolist(), x["key_span"].tolist()
     paths: list[str] = []
     places: list[tuple] = []
-    kinds, values = [], []
+    depths: list[int] = []
+    kinds, values, shown = [], [], []
     kind_of = {0x22: "string", 0x7B: "object", 0x5B: "array", 0x74: "boolean", 0x66: "boolean", 0x6E: "null"}
     for i, (p, k, s, e, n, boxed) in enumerate(zip(parent, keyed, x["start"].tolist(), x["end"].tolist(), x["index"].tolist(), x["boxed"].tolist())):
+        depths.append(depths[p] + 1 if p >= 0 else 0)
+        if depths[i] > deepest:
+            paths.append("")
+            places.append(())
+            continue
         above, where = (paths[p] + ".", places[p]) if p >= 0 else ("", ())
+        shown.append(i)
         if p < 0:
             paths.append("$")
             places.append(())
@@ -145,43 +193,47 @@ def _rows(keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
         kinds.append(kind)
         values.append(None if boxed or kind == "null" else _string(data[s + 1 : e - 1]) if kind == "string" else data[s:e].decode())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(keys, np.int64)[x["doc"]]), pa.array(paths, pa.string()), pa.array([list(w) for w in places], pa.list_(pa.int32())), pa.array(kinds, pa.string()), pa.array(values, pa.string())],
+        [pa.array(np.array(keys, np.int64)[x["doc"][shown]]), pa.array([paths[i] for i in shown], pa.string()), pa.array([list(places[i]) for i in shown], pa.list_(pa.int32())), pa.array(kinds, pa.string()), pa.array(values, pa.string())],
         names=["doc", "path", "places", "kind", "value"],
     )
 
 
-def _index_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, texts, size = [], [], 0
-        for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not valid_json(body):
-                continue
-            raw = body.encode("utf-8", "surrogatepass")
-            if texts and size + len(raw) > BATCH_BYTES:
-                yield _rows(keys, texts)
-                keys, texts, size = [], [], 0
-            keys.append(key)
-            texts.append(raw)
-            size += len(raw)
-        if texts:
-            yield _rows(keys, texts)
-
-
-def json_values(bodies: DataFrame, key: str, body: str) -> DataFrame:
+def _index_json(deepest: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, size = [], [], 0
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not valid_json(body):
+                    continue
+                raw = body.encode("utf-8", "surrogatepass")
+                if texts and size + len(raw) > BATCH_BYTES:
+                    yield _rows(keys, texts, deepest)
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(raw)
+                size += len(raw)
+            if texts:
+                yield _rows(keys, texts, deepest)
+
+    return run
+
+
+def json_values(bodies: DataFrame, key: str, body: str, deepest: float = np.inf) -> DataFrame:
     """``doc, path, places, kind, value``: a row for each value of each valid JSON text.
 
     ``path`` names the members from the root ``$`` on, ``[]`` standing for a list element whose
-    place is in ``places``. Null, empty and broken texts give no row.
+    place is in ``places``. Null, empty and broken texts give no row. Values more than
+    ``deepest`` levels below the root are left out; a path is as long as its value is deep.
     """
-    return bodies.where(F.col(body).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(body).cast("string")).mapInArrow(_index_json, _NODES)
+    return bodies.where(F.col(body).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(body).cast("string")).mapInArrow(_index_json(deepest), _NODES)
 
 
 def raw_values(raw: DataFrame) -> DataFrame:
     """Values of ``raw_records`` with content given as JSON text opened and an outer ``document`` removed."""
     bodies = raw.select("body").where("body is not null").distinct().withColumn("doc", F.xxhash64("body"))
-    values = stored(json_values(bodies, "doc", "body").withColumn("path", F.regexp_replace("path", r"^\$\.document\.", r"\$.")))
+    values = stored(json_values(bodies, "doc", "body", TABLE_DEPTH).withColumn("path", F.regexp_replace("path", r"^\$\.document\.", r"\$.")))
     texts = values.where("path = '$.content' and kind = 'string'").select("doc", "value").distinct()
-    inner = json_values(texts, "doc", "value").withColumn("path", F.concat(F.lit("$.content"), F.expr("substring(path, 2)")))
+    inner = json_values(texts, "doc", "value", TABLE_DEPTH).withColumn("path", F.concat(F.lit("$.content"), F.expr("substring(path, 2)")))
     return values.where("not (path = '$.content' and kind = 'string')").unionByName(inner)
 
 

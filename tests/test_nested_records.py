@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sheafline.operators.nested_records import NestedTables, json_values
+from sheafline.operators.nested_records import NestedTables, _valid_at_any_depth, json_values
 from sheafline.sources.schemas import DOCUMENT
 
 WRONG = ["", "  ", "{", '{"a": }', '{"a": 1', "nope", '{"a": NaN}', '["x", ]', '"open']
@@ -86,3 +86,19 @@ def test_typed_records_and_parents(spark):
 def test_empty_tables(spark):
     t = tables(spark, [], [])
     assert [getattr(t, n)().count() for n in ("documents", "sections", "blocks", "rows", "cells", "items")] == [0] * 6
+
+
+def test_bodies_nested_very_deep(spark):
+    deep = 20_000
+    good, broken = "[" * deep + "]" * deep, '{"a":' * deep + "1" + "}" * (deep - 1)
+    body = '{"document_id": "r", "content": {"sections": [{"blocks": [{"items": ["i"], "x": %s}]}]}}'
+    assert found(tables(spark, [], [body % good, body % broken]))[1] == {("r", 0, 0, 0, "i")}
+    values = json_values(spark.createDataFrame([(1, good)], "id long, body string"), "id", "body", 3)
+    assert values.count() == 4
+
+
+def test_validity_token_by_token():
+    for x in GOOD:
+        assert _valid_at_any_depth(x) and _valid_at_any_depth(f" [{x}, {x}] ")
+    for x in WRONG + ["1 2", "[1,]", "{,}", '{"a" 1}', "[1}", '{"a": 1]', "]", "[]]", "01", '"a\nb"', '"\\x"', '{1: 2}', '{"a": 1,}', "[:]", "tru"]:
+        assert not _valid_at_any_depth(x)
