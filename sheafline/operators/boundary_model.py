@@ -26,6 +26,18 @@ def divided(pairs: DataFrame, share: float = VALIDATION) -> tuple[DataFrame, Dat
     return pairs.where(roll >= share), pairs.where(roll < share)
 
 
+def first_streams(pages: DataFrame, n: int, order: str = "received_at") -> DataFrame:
+    """Pages of the ``n`` streams that were met first, by their least ``order`` and then by id; null ``order`` comes last."""
+    met = pages.groupBy("stream_id").agg(F.min(order).alias("met")).orderBy(F.asc_nulls_last("met"), "stream_id").limit(n)
+    return pages.join(met.select("stream_id"), "stream_id", "left_semi")
+
+
+def validation_counts(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    """``is_boundary, said_boundary, pairs``: confusion of the model on pairs that it was not fitted on."""
+    said = (vector_to_array("probability")[1] < THRESHOLD).alias("said_boundary")
+    return model.transform(pairs).groupBy((F.col("label") == 0).alias("is_boundary"), said).agg(F.count("*").alias("pairs"))
+
+
 def train(pairs: DataFrame, kind: str = "logistic_regression") -> PipelineModel:
     """Fitted pipeline; the scaler sees the training pairs only. Any other name is logistic regression."""
     counts = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count("*").alias("n")).collect()}

@@ -43,3 +43,25 @@ def labels_layout(samples: DataFrame) -> DataFrame:
 def no_layout(samples: DataFrame) -> DataFrame:
     """Samples in no known layout: one page of unknown type."""
     return samples.select("packet_id", F.lit(1).alias("group_no"), F.lit("1").alias("pages"), F.lit(UNKNOWN).alias("document_type"))
+
+
+def annotations(samples: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``packet_id, page_count, groups, document_types, pdf_path``: one row a packet with the groups of one of the layouts.
+
+    ``groups`` has the pages of each group and ``document_types`` its type, by first page. The
+    page count is the highest page, or ``num_pages`` where the sample says more; the path is
+    ``pdf_path`` or ``file_name``. Columns that samples lack count as null.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in samples.columns else F.lit(None).cast(kind)
+    pages = F.transform(F.split("pages", ","), lambda x: x.cast("int"))
+    of = grouped.select("packet_id", pages.alias("p"), "document_type").groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct(F.array_min("p").alias("first"), "p", "document_type"))).alias("g"))
+    held = samples.select("packet_id", has("num_pages", "int").alias("num_pages"), F.coalesce(has("pdf_path", "string"), has("file_name", "string")).alias("pdf_path"))
+    highest = F.array_max(F.transform("g", lambda x: F.array_max(x["p"])))
+    return held.join(of, "packet_id", "left").select("packet_id", F.greatest(F.coalesce(highest, F.lit(0)), "num_pages").alias("page_count"), F.transform("g", lambda x: x["p"]).alias("groups"), F.transform("g", lambda x: x["document_type"]).alias("document_types"), "pdf_path")
+
+
+def packet_named(samples: DataFrame, number: str = "sample_no") -> DataFrame:
+    """Samples with a ``packet_id``: their ``id``, else their ``packet_id``, else ``packet_`` and their number."""
+    own = [F.col(c).cast("string") for c in ("id", "packet_id") if c in samples.columns]
+    made = [F.concat(F.lit("packet_"), F.col(number).cast("string"))] if number in samples.columns else []
+    return samples.withColumn("packet_id", F.coalesce(*own, *made))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.operators import boundaries as B
@@ -13,7 +16,7 @@ from sheafline.operators import sample_layouts as L
 from sheafline.operators import structure as S
 from sheafline.plans.storage import small_or_shuffled, stored
 from sheafline.plans.stream_queries import _TRUE, _bucket, _pages
-from sheafline.sources.tables import table
+from sheafline.sources.tables import schema_summary, table
 
 
 def _extractions(spark, folder):
@@ -165,24 +168,46 @@ def _layout(operator):
     return lambda spark, folder: operator(_sampled(spark, folder))
 
 
+def sample_annotations(spark, folder):
+    """One row a packet: groups and types as texts."""
+    samples = _sampled(spark, folder)
+    a = L.annotations(samples, L.documents_layout(samples))
+    return a.select("packet_id", "page_count", F.array_join(F.transform("groups", lambda g: F.array_join(g, ",")), ";").alias("groups"), F.array_join("document_types", ",").alias("document_types"))
+
+
+def first_training_streams(spark, folder, n=25):
+    """The training streams that were received first, with their pages."""
+    train = table(spark, folder, "stream_splits", "stream_id", "split_name").where("lower(trim(split_name)) = 'train'").select("stream_id").distinct()
+    pages = table(spark, folder, "stream_pages", "stream_id", "original_position", "received_at").join(train, "stream_id", "left_semi")
+    return M.first_streams(pages, n).groupBy("stream_id").agg(F.countDistinct("original_position").alias("pages"))
+
+
+#: Tables of the packet data whose schemas are listed.
+TABLES = ("stream_pages", "stream_splits", "page_extractions", "structured_documents", "raw_records", "vector_records", "documents", "eval_items")
+
+
+def table_fields(spark, folder):
+    return reduce(DataFrame.unionByName, (schema_summary(table(spark, folder, t), t) for t in TABLES)).drop("type")
+
+
 def _learned(spark, folder):
-    """Model of the training streams, and the pages, features of all streams."""
+    """Model of the training streams, the pages and features of all streams, their splits, and the pairs kept for validation."""
     pages = _pages(spark, folder)
     features = stored(B.pair_features(B.text_pages(pages)))
     splits = table(spark, folder, "stream_splits", "stream_id", "split_name").select("stream_id", F.lower(F.trim("split_name")).alias("split")).distinct()
     pairs = M.training_pairs(features, B.true_pairs(pages)).join(splits.where("split = 'train'").select("stream_id"), "stream_id")
-    fitted, _ = M.divided(pairs)
-    return M.train(stored(fitted)), pages, features, splits
+    fitted, kept = M.divided(pairs)
+    return M.train(stored(fitted)), pages, features, splits, kept
 
 
 def learned_decisions(spark, folder):
-    model, _, features, _ = _learned(spark, folder)
+    model, _, features, *_ = _learned(spark, folder)
     return M.learned_decisions(features, model)
 
 
 def learned_metrics(spark, folder):
     """Macro metrics of the learned method over the streams of each split."""
-    model, pages, features, splits = _learned(spark, folder)
+    model, pages, features, splits, _ = _learned(spark, folder)
     per = stored(B.stream_metrics(pages, M.learned_decisions(features, model)).join(splits, "stream_id"))
     out = None
     for name in ("train", "validation", "test"):
@@ -191,6 +216,12 @@ def learned_metrics(spark, folder):
     return out
 
 
+def learned_validation(spark, folder):
+    """Confusion of the learned method on the training pairs that were kept back."""
+    model, *_, kept = _learned(spark, folder)
+    return M.validation_counts(model, kept)
+
+
 def feature_importance(spark, folder):
     model = _learned(spark, folder)[0]
     return spark.createDataFrame(list(M.importances(model).items()), "feature string, importance double")
@@ -217,7 +248,11 @@ QUERIES = {
     "layout_labelled_pages": _layout(L.labelled_pages_layout),
     "layout_boundaries": _layout(L.boundaries_layout),
     "layout_labels": _layout(L.labels_layout),
+    "sample_annotations": sample_annotations,
+    "first_training_streams": first_training_streams,
+    "table_fields": table_fields,
     "learned_decisions": learned_decisions,
+    "learned_validation": learned_validation,
     "learned_metrics": learned_metrics,
     "feature_importance": feature_importance,
 }
@@ -319,4 +354,9 @@ SQL = {
     "layout_labelled_pages": f"with {_LAY} select packet_id, cast(group_no % 3 as varchar) document, string_agg(page_number, ',' order by page_number) pages, coalesce(arg_max(source, page_number), 'unknown') document_type from x group by packet_id, group_no % 3",
     "layout_boundaries": f"with {_LAY} select packet_id, group_no, string_agg(page_number, ',' order by page_number) pages, 'unknown' document_type from x group by packet_id, group_no",
     "layout_labels": f"with {_LAY} select packet_id, group_no, string_agg(page_number, ',' order by page_number) pages, cast(group_no % 2 as varchar) document_type from x group by packet_id, group_no",
+    "sample_annotations": f"""with {_LAY}, g as (select packet_id, group_no, max(page_number) last, string_agg(page_number, ',' order by page_number) pages from x group by all)
+        select packet_id, cast(max(last) as int) page_count, string_agg(pages, ';' order by group_no) groups, string_agg(case when group_no % 2 = 0 then 'even' else 'unknown' end, ',' order by group_no) document_types from g group by packet_id""",
+    "first_training_streams": """select stream_id, count(distinct original_position) pages from stream_pages where stream_id in (select stream_id from stream_splits where lower(trim(split_name)) = 'train')
+        group by stream_id order by min(received_at) nulls last, stream_id limit 25""",
+    "table_fields": " union all ".join(f"select '{t}' table_name, (select count(*) from {t}) num_samples, cast(cid as int) field_no, name field from pragma_table_info('{t}')" for t in TABLES),
 }

@@ -5,10 +5,10 @@ import json
 from pyspark.sql import functions as F
 
 from sheafline import cli
-from sheafline.operators import page_types, sample_layouts
+from sheafline.operators import boundary_model, page_types, sample_layouts
 from sheafline.operators.retrieval import VectorStore
 from sheafline.plans.storage import small_or_shuffled
-from sheafline.sources import files
+from sheafline.sources import files, tables
 from sheafline.sources.schemas import BLOCK
 
 
@@ -56,3 +56,26 @@ def test_wide_rows_are_not_broadcast(spark):
     narrow, wide = spark.range(1000), spark.range(1000).select("id", F.repeat(F.lit("x"), 100_000).alias("t"))
     strategy = lambda df: spark.range(10).join(small_or_shuffled(df), "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in strategy(narrow) and "broadcast" not in strategy(wide) and "broadcast" not in strategy(wide.select("id", F.array("t").alias("t")))
+
+
+def test_manifest_lists_fields_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "b long, a string")
+    both = tables.schema_summary(df, "t").unionByName(tables.schema_summary(df.where("false"), "none"))
+    tables.write_manifest(both.coalesce(1), str(tmp_path / "m"))
+    got = {r.dataset: r for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert {k: v.schema.num_samples for k, v in got.items()} == {"t": 2, "none": 0}
+    assert [(f.field, f.type) for f in got["t"].schema.fields] == [("b", "bigint"), ("a", "string")]
+
+
+def test_annotations_of_samples(spark):
+    samples = sample_layouts.packet_named(spark.createDataFrame([(None, "k", 3, 9, [2]), ("i", "x", 4, 1, []), (None, None, 5, None, None)], "id string, packet_id string, sample_no int, num_pages int, boundaries array<int>"))
+    grouped = spark.createDataFrame([("k", "3,4", "b"), ("k", "1,2", "a"), ("i", "1,10", "c")], "packet_id string, pages string, document_type string")
+    got = {r.packet_id: r for r in sample_layouts.annotations(samples.withColumn("file_name", F.lit("f")), grouped).collect()}
+    assert got["k"].groups == [[1, 2], [3, 4]] and got["k"].document_types == ["a", "b"] and got["k"].page_count == 9
+    assert got["i"].page_count == 10 and got["i"].pdf_path == "f" and got["packet_5"].page_count == 0
+
+
+def test_first_streams_by_arrival(spark):
+    pages = spark.createDataFrame([("b", 2), ("a", 5), ("b", 9), ("c", 2), ("d", None)], "stream_id string, received_at int")
+    assert sorted(r.stream_id for r in boundary_model.first_streams(pages, 2).collect()) == ["b", "b", "c"]
+    assert boundary_model.first_streams(pages.where("false"), 2).count() == 0 and boundary_model.first_streams(pages, 9).count() == 5
