@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,30 +32,38 @@ def space_words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"(?U)\s+"), lambda w: w != "")
 
 
-_known: dict[str, int] = {}
+class _Buckets(dict):
+    """Buckets of words met so far in this worker."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = b = int(hashlib.md5(word.encode()).hexdigest(), 16) % DIMENSIONS
+        return b
 
-def _buckets(text: str | None) -> Counter:
-    found: Counter = Counter()
-    for w in (text or "").lower().split():
-        b = _known.get(w)
-        if b is None:
-            if len(_known) > 500_000:
-                _known.clear()
-            b = _known[w] = int(hashlib.md5(w.encode()).hexdigest(), 16) % DIMENSIONS
-        found[b] += 1
-    return found
+
+_known = _Buckets()
+#: Pairs of texts whose embeddings are held at once.
+_ROWS = 1_000
+
+
+def _embedded(texts: list) -> np.ndarray:
+    """A row of word counts by bucket for each text."""
+    words = [(t or "").lower().split() for t in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    buckets = np.fromiter((_known[w] for each in words for w in each), np.int64, len(rows))
+    return np.bincount(rows * DIMENSIONS + buckets, minlength=len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS).astype(float)
 
 
 @F.pandas_udf(T.DoubleType())
 def hash_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of the hash embeddings of two texts; 0 where either has no words."""
-    out = []
-    for x, y in zip(a, b):
-        p, q = _buckets(x), _buckets(y)
-        norm = (sum(v * v for v in p.values()) * sum(v * v for v in q.values())) ** 0.5
-        out.append(sum(v * q[k] for k, v in p.items() if k in q) / norm if norm else 0.0)
-    return pd.Series(out, dtype=float)
+    out = np.zeros(len(a))
+    for k in range(0, len(a), _ROWS):
+        p, q = (_embedded(x.iloc[k : k + _ROWS].tolist()) for x in (a, b))
+        norm = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+        out[k : k + _ROWS] = np.divide((p * q).sum(axis=1), norm, out=np.zeros(len(p)), where=norm > 0)
+    return pd.Series(out)
 
 
 def ratio(a: Column, b: Column) -> Column:
