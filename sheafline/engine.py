@@ -33,11 +33,11 @@ class Engine:
 
     def analyze(self, extractions: DataFrame, method: str = "baseline") -> DataFrame:
         """Documents of each packet with pages, confidence and type. Methods: baseline, embedding, learned;
-        learned falls back to baseline where no model was saved, and so does any other name."""
+        learned falls back to baseline where no model was saved; any other name is an error."""
         pages = B.layout_pages(extractions)
         features = B.pair_features(pages)
         model = M.load(self.settings.model_path) if method == "learned" and self.settings.model_path else None
-        decided = M.learned_decisions(features, model, self.settings.boundary_threshold) if model else B.decisions(features, method, self.settings.boundary_threshold)
+        decided = M.learned_decisions(features, model, self.settings.boundary_threshold) if model else B.decisions(features, "baseline" if method == "learned" else method, self.settings.boundary_threshold)
         placed = stored(B.page_groups(pages, decided))
         texts = placed.join(pages.select("stream_id", "page_number", "text"), ["stream_id", "page_number"])
         joined = texts.groupBy("stream_id", "group_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\n").alias("text"))

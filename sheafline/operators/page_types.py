@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import col
+from sheafline.plans.storage import small_or_shuffled, stored
 
 #: Types and their phrases; the order decides ties.
 LEXICON = {
@@ -57,11 +58,11 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest_prototype(vectors: DataFrame, means: DataFrame, key: str, vector: str, least: float = 0.3) -> DataFrame:
     """``key, document_type, confidence``: label of the prototype with the largest cosine, clipped
     to [0, 1]; under ``least``, or without a vector, unknown. The prototypes, one for each label,
-    are broadcast."""
+    are broadcast after a check of their size."""
     packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p")).select("label", F.col("p.value").alias("p"))
     dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda t, x: t + x))
-    both = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(packed), F.lit(True), "left")
+    both = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).join(small_or_shuffled(stored(packed)), F.lit(True), "left")
     cosine = F.when((norm("v") > 0) & (norm("p") > 0), dot / (norm("v") * norm("p"))).otherwise(0.0)
     scored = both.withColumn("cosine", F.coalesce(cosine, F.lit(0.0)))
     best = scored.groupBy("key").agg(F.max_by(F.struct("label", "cosine"), F.struct(F.round("cosine", 9), -F.hash("label"))).alias("b"))

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.engine import Engine
 from sheafline.operators import boundaries as B
 from sheafline.operators import boundary_model as M
 from sheafline.operators.page_types import classified
+from sheafline.sources.schemas import BLOCK
 
 
 def stream(spark, rows, schema="stream_id string, position int, boundary int, page_text string"):
@@ -75,3 +77,12 @@ def test_learned_model_keeps_scaler_to_training_pairs(spark, tmp_path):
     again = M.learned_decisions(held, M.load(str(tmp_path / "m"))).orderBy("page_a").collect()
     assert [r.is_boundary for r in again] == [r.is_boundary for r in M.learned_decisions(held, model).orderBy("page_a").collect()]
     assert M.load(str(tmp_path / "absent")) is None and set(M.importances(model)) == set(B.FEATURES)
+
+
+def test_learned_without_a_model_is_the_baseline(spark):
+    rows = [(f"p{i}", "k", i, f"page {i} of the log", None, 0, 0, 600.0, 800.0) for i in (1, 2, 3)]
+    pages = spark.createDataFrame(rows, f"page_id string, packet_id string, page_number int, text string, blocks array<{BLOCK}>, block_count int, image_count int, width double, height double")
+    got = lambda method: sorted(map(str, Engine(spark).analyze(pages, method).collect()))
+    assert got("learned") == got("baseline")
+    with pytest.raises(ValueError):
+        Engine(spark).analyze(pages, "basline")
