@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import source_key, strip, words
-from sheafline.plans.storage import drop_stored, small_or_shuffled, stored
+from sheafline.plans.storage import drop_stored, once, small_or_shuffled, stored
 from sheafline.sources.tables import table
 
 PAGE = ("stream_id", "original_position")
@@ -121,7 +121,7 @@ def _cut(keys: int):
             return
         # counts come first in the numbering of slices, then places
         whole = [np.concatenate([counts[t].view(np.uint8), places[t]]) for t in (0, 1)]
-        rows = [(bool(t), i // SLICE, zlib.compress(whole[t][i : i + SLICE].tobytes(), 1)) for t in (0, 1) for i in range(0, len(whole[t]), SLICE) if whole[t][i : i + SLICE].any()]
+        rows = [(bool(t), i // SLICE, _pack(whole[t][i : i + SLICE], i // SLICE)) for t in (0, 1) for i in range(0, len(whole[t]), SLICE) if whole[t][i : i + SLICE].any()]
         n = len(rows)
         columns = [pa.nulls(n, pa.bool_()), *[pa.nulls(n, t) for _, t in kinds], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.binary()))]]
         yield pa.RecordBatch.from_arrays(columns, names=["train", *[n for n, _ in kinds], *[c.split(" ")[0] for c in _FIRST.split(", ")]])
@@ -214,18 +214,18 @@ def _chunk_prefixes(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(2).to_numpy()
-            n = np.diff(batch.column(4).offsets.to_numpy())
+            n = np.diff(batch.column(3).offsets.to_numpy())
             page = np.repeat(np.arange(len(n)), n)
-            often, chunk = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
-            order = np.lexsort((chunk, often, page))
-            often, chunk = often[order], chunk[order]
+            chunk = batch.column(3).flatten().to_numpy()
+            chunk = chunk[np.lexsort((chunk, page))]
+            hot = (chunk >> 56) & 1 == 1
             length = chunk & 255
             run_ = np.cumsum(length)
             whole = np.bincount(page, length, minlength=len(n))
             # words of this chunk and of all more common ones: where they fall under the least share, the prefix ends
             left = np.repeat(np.cumsum(whole), n) - run_ + length
             enough = whole >= least * words
-            keep = (left >= least * words[page]) & (often <= HOT) & enough[page]
+            keep = (left >= least * words[page]) & ~hot & enough[page]
             lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), pa.array(c)) for k, c in ((np.bincount(page[keep], minlength=len(n)), chunk[keep]), (n, chunk))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["page", "train", "words", "prefix", "chunks"]).filter(pa.array(enough))
 
@@ -237,13 +237,18 @@ def chunk_pairs(cut: DataFrame, least: float = LEAST) -> DataFrame:
     evaluation splits (b), named by the 64-bit hash of their words, with the words in shared chunks.
     """
     length = _LENGTH
-    rows = cut.select("page", "train", "words", F.explode("digests").alias("chunk"))
+    # chunks that the evaluation pages cannot have are not sent
+    asked = _asked(cut.where("not train").select(F.transform("digests", lambda c: F.shiftright(c, 8))))
+    held = cut.sparkSession.sparkContext.broadcast(asked)
+    rows = cut.select("page", "train", "words", "digests").mapInArrow(_shared(held), "page long, train boolean, words int, chunk long")
     side = F.when(F.col("train"), 1).otherwise(0)
     counts = rows.groupBy("chunk").agg(F.sum(side).alias("a"), F.sum(1 - side).alias("b")).where("a > 0 and b > 0")
-    counts = stored(counts.select("chunk", (F.col("a").cast("double") * F.col("b")).alias("often")))
+    # in place of its first byte a chunk gets what orders it: quarters of a doubling of the pairs, and whether it is hot
+    often = F.col("a").cast("double") * F.col("b")
+    order = F.least(F.floor(4 * F.log2(often)), F.lit(63)).cast("long")
+    counts = stored(counts.select("chunk", F.shiftleft(order * 2 + (often > HOT).cast("long"), 56).bitwiseOR(F.col("chunk").bitwiseAND(F.lit((1 << 56) - 1))).alias("code")))
     common = rows.join(small_or_shuffled(counts), "chunk")
-    lists = common.groupBy("page", "train").agg(F.max("words").alias("words"), F.collect_set(F.struct("often", "chunk")).alias("c"))
-    lists = lists.select("page", "train", "words", F.col("c.often").alias("often"), F.col("c.chunk").alias("chunk"))
+    lists = common.groupBy("page", "train").agg(F.max("words").alias("words"), F.collect_set("code").alias("chunk"))
     packed = stored(lists.mapInArrow(_chunk_prefixes(least), "page long, train boolean, words int, prefix array<long>, chunks array<long>"))
     # pairs of pages first, their chunks after
     side = lambda x, cond, *c: packed.where(cond).select(F.col("page").alias(f"page_{x}"), *c)
@@ -288,11 +293,28 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(PLACES - 1)).astype(np.int64)
 
 
+def _counted(at: int) -> bool:
+    return at < 4 * BUCKETS // SLICE
+
+
+def _pack(part: np.ndarray, at: int) -> bytes:
+    """Bytes of slice ``at``: counts with their low bytes first, as most are small, places by frequency of their bytes alone."""
+    if _counted(at):
+        return zlib.compress(part.reshape(-1, 4).T.tobytes(), 1)
+    packer = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, 9, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(part.tobytes()) + packer.flush()
+
+
+def _unpack(packed: bytes, at: int) -> np.ndarray:
+    part = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(part.reshape(4, -1).T).reshape(-1) if _counted(at) else part
+
+
 def _merged(rows: pa.Table) -> pa.Table:
-    counted = rows.column("slice")[0].as_py() < 4 * BUCKETS // SLICE
-    parts = [np.frombuffer(zlib.decompress(x), np.uint32 if counted else np.uint8) for x in rows.column("packed").to_pylist()]
-    whole = np.add.reduce(parts, dtype=np.uint32) if counted else np.bitwise_or.reduce(parts)
-    return pa.table({"of": rows.column("of")[:1], "slice": rows.column("slice")[:1], "packed": pa.array([zlib.compress(whole.tobytes(), 1)], pa.binary())})
+    at = rows.column("slice")[0].as_py()
+    parts = [_unpack(x, at) for x in rows.column("packed").to_pylist()]
+    whole = np.add.reduce([p.view(np.uint32) for p in parts], dtype=np.uint32).view(np.uint8) if _counted(at) else np.bitwise_or.reduce(parts)
+    return pa.table({"of": rows.column("of")[:1], "slice": rows.column("slice")[:1], "packed": pa.array([_pack(whole, at)], pa.binary())})
 
 
 def _sketch(page: np.ndarray, h: np.ndarray, pages: int) -> np.ndarray:
@@ -332,39 +354,67 @@ def _prefixes(held, least_jaccard: float):
     return run
 
 
-def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float) -> DataFrame:
+def triple_pairs(texts: DataFrame, tally: DataFrame, least_jaccard: float, near: DataFrame) -> DataFrame:
     """``page_a, page_b``: all distinct texts of the training (a) and the evaluation splits (b) of
     ``texts(train, text)`` whose three-word sets can have ``least_jaccard`` of their union in
-    common; no such pair is left out. ``tally`` has the packed counts and places of their hashes, a row a slice.
+    common; no such pair is left out, and of the pairs in ``near`` those that cannot are. ``tally``
+    has the packed counts and places of their hashes, a row a slice.
     """
     whole = np.zeros((2, 4 * BUCKETS + PLACES // 8), np.uint8)
     for side, at, packed in tally.collect():
-        whole[int(side), at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        whole[int(side), at * SLICE : (at + 1) * SLICE] = _unpack(packed, at)
     counts = whole[:, : 4 * BUCKETS].copy().view(np.uint32).astype(np.float32)
     # quarters of a doubling are fine enough for an order
     often = np.minimum(1 + 4 * np.log2(1 + counts[0] * counts[1]), 255).astype(np.uint8)
     held = texts.sparkSession.sparkContext.broadcast((often, whole[0, 4 * BUCKETS :] & whole[1, 4 * BUCKETS :]))
     packed = texts.mapInArrow(_prefixes(held, least_jaccard), "page long, train boolean, size int, begin int, hashes array<long>, " + ", ".join(f"{c} long" for c in _PACKED[5:])).where(F.size("hashes") > 0)
-    packed = stored(packed.dropDuplicates(["page", "train"]))
+    packed = once(packed, "page", "train")
     # a train page sends only what the evaluation pages send too
-    asked = np.zeros(PLACES // 8, np.uint8)
-    marks = packed.where("not train").select("hashes").mapInArrow(_marks, _TALLY)
-    for _, at, part in marks.groupBy("of", "slice").applyInArrow(_merged, _TALLY).collect():
-        at -= 4 * BUCKETS // SLICE
-        asked[at * SLICE : (at + 1) * SLICE] = np.frombuffer(zlib.decompress(part), np.uint8)
-    held = texts.sparkSession.sparkContext.broadcast(asked)
-    rows = packed.select(*_PACKED[:5]).mapInArrow(_exploded(held), "page long, train boolean, size int, left int, hash long")
-    side = lambda x, cond: rows.where(cond).select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("page", "size", "left")])
+    held = texts.sparkSession.sparkContext.broadcast(_asked(packed.where("not train").select("hashes")))
+    # pages go by their row numbers, which take less room than hashes
+    rows = packed.select("row", *_PACKED[1:5]).mapInArrow(_exploded(held), "row long, train boolean, sizes long, hash long")
+    side = lambda x, cond: rows.where(cond).select("hash", F.col("row").alias(f"row_{x}"), F.col("sizes").alias(f"sizes_{x}"))
+    size, left = (lambda x: F.shiftright(f"sizes_{x}", 32)), (lambda x: F.col(f"sizes_{x}").bitwiseAND(F.lit(0xFFFFFFFF)))
     # the first hash that a pair has in common leaves all its common ones behind it in both: other meetings are not sent on
-    wanted = lambda a, b: (F.col(a) + F.col(b)) * (least_jaccard / (1 + least_jaccard)) - 1e-6
-    met = side("a", "train").join(side("b", "not train"), "hash").where(F.least("left_a", "left_b") >= wanted("size_a", "size_b"))
-    met = stored(met.select("page_a", "page_b").distinct())
-    bits = lambda x: packed.where(F.col("train") == F.lit(x == "a")).select(F.col("page").alias(f"page_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_PACKED[5:])])
-    met = met.join(bits("a"), "page_a").join(bits("b"), "page_b")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PACKED[5:]), F.lit(0))
-    met = stored(met.where(F.col("size_a") + F.col("size_b") - apart >= 2 * wanted("size_a", "size_b")).select("page_a", "page_b"))
-    drop_stored(packed)
-    return met
+    wanted = lambda a, b: (a + b) * (least_jaccard / (1 + least_jaccard)) - 1e-6
+    met = side("a", "train").join(side("b", "not train"), "hash").where(F.least(left("a"), left("b")) >= wanted(size("a"), size("b")))
+    number = lambda x: packed.where(F.col("train") == F.lit(x == "a")).select(F.col("page").alias(f"page_{x}"), F.col("row").alias(f"row_{x}"))
+    near = near.select("page_a", "page_b").join(number("a"), "page_a").join(number("b"), "page_b")
+    met = stored(met.select("row_a", "row_b").unionByName(near.select("row_a", "row_b")).distinct())
+    bits = lambda x: packed.where(F.col("train") == F.lit(x == "a")).select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "page", "size", *_PACKED[5:])])
+    # first by the parities of half as many bits, which are less to send, then by all
+    half = lambda x: bits(x).select(f"row_{x}", f"size_{x}", *[F.col(f"{c}_{x}").bitwiseXOR(F.col(f"{d}_{x}")).alias(f"{c}_{x}") for c, d in zip(_PACKED[5::2], _PACKED[6::2])])
+    apart = lambda names: sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
+    possible = lambda names: F.col("size_a") + F.col("size_b") - apart(names) >= 2 * wanted(F.col("size_a"), F.col("size_b"))
+    some = stored(met.join(half("a"), "row_a").join(half("b"), "row_b").where(possible(_PACKED[5::2])).select("row_a", "row_b"))
+    pairs = stored(some.join(bits("a"), "row_a").join(bits("b"), "row_b").where(possible(_PACKED[5:])).select("page_a", "page_b"))
+    drop_stored(packed, met, some)
+    return pairs
+
+
+def _asked(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of the places of all hashes of a column of lists."""
+    asked = np.zeros(PLACES // 8, np.uint8)
+    for _, at, packed in hashes.mapInArrow(_marks, _TALLY).groupBy("of", "slice").applyInArrow(_merged, _TALLY).collect():
+        part, at = _unpack(packed, at), at - 4 * BUCKETS // SLICE
+        asked[at * SLICE : (at + 1) * SLICE] = part
+    return asked
+
+
+def _shared(held):
+    """A row for each chunk of a page; those of train pages that no evaluation page has are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        for batch in batches:
+            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
+            chunk = batch.column(3).flatten().to_numpy()
+            place = _place((chunk >> 8).view(np.uint64))
+            keep = ~batch.column(1).to_numpy(zero_copy_only=False)[of].astype(bool) | ((asked[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            of = pa.array(of[keep])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(3)], pa.array(chunk[keep])], names=["page", "train", "words", "chunk"])
+
+    return run
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,25 +423,25 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = _place(batch.column(0).flatten().to_numpy().view(np.uint64))
         np.bitwise_or.at(places, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    rows = [(False, (4 * BUCKETS + i) // SLICE, zlib.compress(places[i : i + SLICE].tobytes(), 1)) for i in range(0, len(places), SLICE) if places[i : i + SLICE].any()]
+    rows = [(False, (4 * BUCKETS + i) // SLICE, _pack(places[i : i + SLICE], (4 * BUCKETS + i) // SLICE)) for i in range(0, len(places), SLICE) if places[i : i + SLICE].any()]
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int32(), pa.binary()))], names=["of", "slice", "packed"])
 
 
 def _exploded(held):
-    """A row for each hash of a page; those of train pages that no evaluation page sends are left out."""
+    """A row for each hash of a page, with the size of its set and the hashes left from it on in one number; those of train pages that no evaluation page sends are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held.value
         for batch in batches:
-            page, train, size, begin = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            row, train, size, begin = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             number = np.diff(batch.column(4).offsets.to_numpy())
-            of = np.repeat(np.arange(len(page)), number)
+            of = np.repeat(np.arange(len(row)), number)
             h = batch.column(4).flatten().to_numpy()
             at = begin[of] + np.arange(len(h)) - np.repeat(np.cumsum(number) - number, number)
             place = _place(h.view(np.uint64))
             keep = ~train[of].astype(bool) | ((asked[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
             of, at, h = of[keep], at[keep], h[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(page[of]), pa.array(train[of].astype(bool)), pa.array(size[of]), pa.array((size[of] - at).astype(np.int32)), pa.array(h)], names=["page", "train", "size", "left", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[of]), pa.array(train[of].astype(bool)), pa.array((size[of].astype(np.int64) << 32) | (size[of] - at)), pa.array(h)], names=["row", "train", "sizes", "hash"])
 
     return run
 
@@ -422,12 +472,10 @@ def overlaps(pages: DataFrame, splits: DataFrame, least_jaccard: float = 0.5, le
     first = stored(whole.where("page is not null").drop("of", "slice", "packed"))
     tally = stored(whole.where("slice is not null").select("of", "slice", "packed").groupBy("of", "slice").applyInArrow(_merged, _TALLY))
     drop_stored(whole)
-    cut = first.where("words is not null").select("page", "train", "words", F.array_distinct("digests").alias("digests"))
+    cut = first.where("words is not null").select("page", "train", F.array_distinct("digests").alias("digests"))
     # digests count once in a page
-    cut = cut.withColumn("words", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)))
-    near = chunk_pairs(cut, least)
-    rest = triple_pairs(placed.select("train", "text"), tally, least_jaccard).join(near, ["page_a", "page_b"], "left_anti")
-    pairs = stored(near.select("page_a", "page_b").unionByName(rest))
+    cut = once(cut.select("page", "train", F.aggregate("digests", F.lit(0), lambda t, c: t + _LENGTH(c)).alias("words"), "digests"), "page", "train")
+    pairs = triple_pairs(placed.select("train", "text"), tally, least_jaccard, chunk_pairs(cut, least))
     n = pairs.count()
     wanted = pairs.select(F.explode(F.array("page_a", "page_b")).alias("page")).distinct()
     members = stored(first.select("page", *PAGE, "split", "source").distinct().join(small_or_shuffled(stored(wanted)), "page", "left_semi"))

@@ -47,6 +47,20 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """Stored ``df`` with a number ``row`` for each row, and of rows with equal ``keys`` the first one only.
+
+    Keys and numbers are shuffled; the other columns are so only where many rows are repeated.
+    """
+    numbered = stored(df.withColumn("row", F.monotonically_increasing_id()))
+    repeated = stored(numbered.groupBy(*keys).agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    others = stored(numbered.select(*keys, "row").join(small_or_shuffled(repeated), list(keys)).where("row <> first").select("row"))
+    n = others.count()
+    kept = stored(numbered.join(small_or_shuffled(others, n), "row", "left_anti")) if n else numbered
+    drop_stored(repeated, others, *[numbered] * (n > 0))
+    return kept
+
+
 def small_or_shuffled(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast when its rows are within ``limit`` and the counted bytes of
     its values within BROADCAST_BYTES; otherwise leave the join to shuffle (with AQE splitting

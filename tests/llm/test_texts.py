@@ -162,6 +162,21 @@ def test_no_pair_is_lost_whatever_counts_as_hot(spark, monkeypatch, hot):
     assert all(0 <= r.share_a <= 1 and 0 <= r.share_b <= 1 for r in found)
 
 
+def test_pairs_of_common_chunks_that_miss_the_share_are_not_compared(spark):
+    words = [f"w{i}" for i in range(3000)]
+    form = random.Random("form").choices(words, k=60)
+    page = lambda i: " ".join(form + random.Random(i).choices(words, k=100))
+    rows = [(True, page(i)) for i in range(4)] + [(False, page(i)) for i in (0, 7, 8)]
+    df = spark.createDataFrame(rows, "train boolean, text string")
+    whole = df.mapInArrow(O._cut(0), "train boolean, " + O._FIRST).cache()
+    cut = whole.where("words is not null").select("page", "train", "words", "digests")
+    tally = whole.where("slice is not null").select("of", "slice", "packed").groupBy("of", "slice").applyInArrow(O._merged, O._TALLY)
+    near = O.chunk_pairs(cut)
+    assert near.count() > 1
+    found = O.triple_pairs(df, tally, 0.5, near).collect()
+    assert len(found) == 1 and found[0].page_a == found[0].page_b
+
+
 def test_many_copies_of_one_page(spark):
     t = prose(1, 60)
     rows = [("a", i, "s", t) for i in range(80)] + [("b", i, None, t.title()) for i in range(5)]

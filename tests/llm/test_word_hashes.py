@@ -1,6 +1,8 @@
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from sheafline.llm import split_overlap as O
 
@@ -33,3 +35,15 @@ def test_sketch_bounds_the_difference():
     bits = O._sketch(np.repeat([0, 1], [120, 110]), np.r_[a, b], 2)
     apart = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
     assert 0 < apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_packed_slices_are_read_back_and_merged():
+    rng = np.random.default_rng(5)
+    counts = np.bincount(rng.integers(0, O.SLICE // 4, 20_000), minlength=O.SLICE // 4).astype(np.uint32)
+    places = rng.integers(0, 256, O.SLICE).astype(np.uint8) & (rng.random(O.SLICE) < 0.1).astype(np.uint8) * 255
+    first = 4 * O.BUCKETS // O.SLICE
+    for part, at, twice in ((counts.view(np.uint8), 0, (2 * counts).view(np.uint8)), (places, first, places)):
+        packed = O._pack(part, at)
+        assert np.array_equal(O._unpack(packed, at), part) and len(packed) < len(zlib.compress(part.tobytes(), 1))
+        rows = pa.table({"of": [True] * 2, "slice": [at] * 2, "packed": [packed] * 2})
+        assert np.array_equal(O._unpack(O._merged(rows).column("packed")[0].as_py(), at), twice)
