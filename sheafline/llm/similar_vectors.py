@@ -132,12 +132,21 @@ def fit(sample: np.ndarray, total: int, probes: int = PROBES, exact: bool = Fals
     return model | {"group": group, "groups": groups, "home_parts": split(np.bincount(group[at], minlength=groups)), "ask_parts": split(asks)}
 
 
+def _least(a: np.ndarray, few: int) -> np.ndarray:
+    """Places of the ``few`` least numbers of each row, least first; they are overwritten."""
+    out, rows = np.empty((len(a), few), np.intp), np.arange(len(a))
+    for k in range(few):
+        out[:, k] = a.argmin(1)
+        a[rows, out[:, k]] = np.inf
+    return out
+
+
 def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``cell, codes, norm`` of unit vectors: the best sum of codewords that a beam search finds."""
     first = model["first"]
     score = 0.5 * (first * first).sum(1) - x @ first.T
     width = min(BEAM, len(first))
-    cell = np.argpartition(score, width - 1, axis=1)[:, :width] if width < len(first) else np.tile(np.arange(width), (len(x), 1))
+    cell = _least(score, width)
     rows = np.arange(len(x))[:, None]
     residual = x[:, None, :] - first[cell]
     codes = np.zeros((len(x), width, 0), np.uint8)
@@ -148,7 +157,7 @@ def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
         distance += np.einsum("nbd,nbd->nb", residual, residual)[:, :, None]
         flat = distance.reshape(len(x), -1)
         keep = min(BEAM, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(keep), (len(x), 1))
+        best = _least(flat, keep)
         parent, code = best // k, best % k
         codes = np.concatenate([codes[rows, parent], code[:, :, None].astype(np.uint8)], 2)
         cell = cell[rows, parent]
@@ -245,28 +254,35 @@ def _scored(x: np.ndarray, m: dict, cells: list, codes: np.ndarray) -> Iterator[
     # a table for each codebook: product of every codeword with every query, so small that all sums fit in 16 bits
     tables, heads = [book @ x.T for book in m["books"]], m["first"] @ x.T
     scale = 32_000 / max(sum(float(np.abs(t).max()) for t in [heads, *tables]), 1e-9)
-    tables, heads = [np.rint(t * scale).astype(np.int16) for t in tables], np.rint(heads * scale).astype(np.int16)
+    heads = np.rint(heads * scale).astype(np.int16)
+    # the products of one codeword number and query lie side by side, so that the queries of a cell are picked for all codebooks at once
+    beside = np.zeros((max(len(t) for t in tables), len(x), -(-len(tables) // 4) * 4), np.int16)
+    for j, products in enumerate(tables):
+        beside[: len(products), :, j] = np.rint(products * scale)
     for cell, a, b in cells:
         q = np.flatnonzero(seen[:, cell])
         if len(q):
             score = np.repeat(heads[cell, q][None], b - a, 0)
             part = np.empty_like(score)
-            for j, products in enumerate(tables):
-                np.take(np.take(products, q, axis=1), codes[a:b, j], axis=0, out=part, mode="clip")
+            own = np.take(beside, q, axis=1)
+            for j in range(len(tables)):
+                np.take(np.ascontiguousarray(own[:, :, j]), codes[a:b, j], axis=0, out=part, mode="clip")
                 score += part
             yield cell, q, a, b, score, scale
 
 
 def _over(x: np.ndarray, base: np.ndarray, m: dict, cells: list, codes: np.ndarray, norm: np.ndarray, least: float, few: int) -> tuple[np.ndarray, np.ndarray]:
     """Query and place of the ``few`` best vectors of each query among all those whose code reaches ``least`` less MARGIN."""
-    queries, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    queries, places, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for cell, q, a, b, score, scale in _scored(x, m, cells, codes):
         i, j = np.nonzero(score >= np.clip((least - MARGIN) * scale * norm[a:b, None], -32_000, 32_000).astype(np.int16))
-        queries.append(q[j])
-        places.append(i + a)
-    q, place = np.concatenate(queries), np.concatenate(places)
-    cosine = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", x[q[s : s + 65_536]], base[place[s : s + 65_536]]) for s in range(0, len(q), 65_536)]])
-    q, place, cosine = (c[cosine >= least - 1e-5] for c in (q, place, cosine))
+        # one product of all is quicker than one for each code that is left
+        cosine = (base[a:b] @ x[q].T)[i, j]
+        fine = cosine >= least - 1e-5
+        queries.append(q[j[fine]])
+        places.append(i[fine] + a)
+        cosines.append(cosine[fine])
+    q, place, cosine = np.concatenate(queries), np.concatenate(places), np.concatenate(cosines)
     order = np.lexsort((-cosine, q))
     q, place = q[order], place[order]
     best = np.arange(len(q)) - np.searchsorted(q, q) < few
