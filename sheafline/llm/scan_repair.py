@@ -42,6 +42,8 @@ EDGE, RUNNING = 2, 3
 _TOKEN = re.compile(r"[^\s\-‐\xad¬—.,;:?()\"'|/\[\]]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _BROKEN = re.compile(r"([^\s.,;:?()\"'|/\[\]]*[^\W_])[-‐\xad¬]\s*$")
+#: What a line with a broken word ends with.
+_HYPHENS = frozenset("-‐\xad¬")
 _FIRST = re.compile(r"\s*([^\W\d_][^\s.,;:?()\"'|/\[\]]*)")
 _CODE = re.compile(r"^[a-z]{2,4}\d{2}|\d{3}")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -58,7 +60,7 @@ def _parts(text: str | None):
     for i, line in enumerate(lines):
         low = line.lower()
         tokens = _TOKEN.findall(low)
-        tail = _BROKEN.search(low)
+        tail = _BROKEN.search(low) if low.rstrip()[-1:] in _HYPHENS else None
         following = []
         if tail:
             j = i + 1
@@ -77,12 +79,13 @@ def _parts(text: str | None):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: Counter = Counter()
+        words: list[str] = []
         for text in batch.column(0).to_pylist():
             for _, low, tokens, _, tail, _ in _parts(text):
-                seen.update(tokens)
+                words += tokens
                 if "-" in low:
-                    seen.update(x for x in _COMPOUND.findall(low) if not (tail and tail.endswith(x)))
+                    words += [x for x in _COMPOUND.findall(low) if not (tail and tail.endswith(x))]
+        seen = Counter(words)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
